@@ -28,13 +28,17 @@ def _cols(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by or [])
 
 
-def _rank_distinct(distinct: DataFrame, value: str, by: list[str], out: str, buckets: int,
-                   accuracy: int) -> DataFrame:
-    """(by, value, n) with distinct (by, value) -> adds the tie-averaged rank.
-
-    Range buckets come from approximate quantiles of the distinct values, so a
-    value repeated a billion times is still one row here.
+def cumulative_below(distinct: DataFrame, value: str, by: Sequence[str] | str, weights: Sequence[str],
+                     buckets: int = 256, accuracy: int = 10_000) -> DataFrame:
+    """For a table with one row per distinct (by, value), add ``below_<w>``:
+    the sum of each weight column over strictly smaller values in the group.
+
+    The order is split into range buckets at approximate quantiles of the
+    distinct values; bucket totals are cumulated over buckets (a window over
+    at most ``buckets`` rows per group) and rows are cumulated inside their
+    bucket, so no task ever holds a whole group.
     """
+    by = _cols(by)
     v = F.col(q(value))
     probs = [i / buckets for i in range(1, buckets)]
     if by:
@@ -45,14 +49,22 @@ def _rank_distinct(distinct: DataFrame, value: str, by: list[str], out: str, buc
         d = distinct.withColumn("_bounds", F.array(*[F.lit(x) for x in (row["b"] or [])]).cast(
             distinct.schema[value].dataType.simpleString().join(["array<", ">"])))
     d = d.withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
-    per_bucket = d.groupBy(*[q(b) for b in by], "_bk").agg(F.sum("n").alias("_bn"))
+    per_bucket = d.groupBy(*[q(b) for b in by], "_bk").agg(*[F.sum(q(w)).alias(f"_bs_{i}") for i, w in enumerate(weights)])
     w_off = Window.partitionBy(*[q(b) for b in by]).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(w_off), F.lit(0)))
+    per_bucket = per_bucket.select(*[q(b) for b in by], "_bk", *[
+        F.coalesce(F.sum(f"_bs_{i}").over(w_off), F.lit(0)).alias(f"_off_{i}") for i in range(len(weights))])
     w_in = Window.partitionBy(*[q(b) for b in by], "_bk").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-    return (d.join(per_bucket.drop("_bn"), by + ["_bk"], "inner")
-            .withColumn("_cum", F.coalesce(F.sum("n").over(w_in), F.lit(0)))
-            .select(*[q(b) for b in by], q(value), "n",
-                    (F.col("_off") + F.col("_cum") + (F.col("n") + 1) / 2.0).alias(out)))
+    out = d.join(per_bucket, by + ["_bk"], "inner")
+    return out.select(*[F.col(q(c)) for c in distinct.columns], *[
+        (F.col(f"_off_{i}") + F.coalesce(F.sum(q(w)).over(w_in), F.lit(0))).alias(f"below_{w}")
+        for i, w in enumerate(weights)])
+
+
+def _rank_distinct(distinct: DataFrame, value: str, by: list[str], out: str, buckets: int,
+                   accuracy: int) -> DataFrame:
+    """(by, value, n) with distinct (by, value) -> adds the tie-averaged rank."""
+    c = cumulative_below(distinct, value, by, ["n"], buckets, accuracy)
+    return c.select(*[q(b) for b in by], q(value), "n", (F.col("below_n") + (F.col("n") + 1) / 2.0).alias(out))
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] | str = (), out: str = "rank",
