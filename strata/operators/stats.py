@@ -80,27 +80,34 @@ def wilcoxon_pairwise(scores: DataFrame, model: str = "model", block: str = "fol
 
 
 def linear_redundancy(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[DataFrame, dict]:
-    """T4: OLS of ``y`` on ``xs`` (with intercept) from one pass of sums of
-    cross-products; the (p+1)x(p+1) normal equations are solved on the
-    driver. A second pass gives R^2, MSE (the figure the reference prints as
-    'RMSE'), RMSE, max |error| and % of rows within +-1."""
+    """T4: OLS of ``y`` on ``xs`` (with intercept). One pass for the means,
+    one for the centred cross-products (well conditioned); the p x p normal
+    equations are solved on the driver. A last pass gives R^2, MSE (the
+    figure the reference prints as 'RMSE'), RMSE, max |error| and % of rows
+    within +-1."""
     xs = list(xs)
-    cols = [F.lit(1.0)] + [F.col(q(x)).cast("double") for x in xs]
     yc = F.col(q(y)).cast("double")
+    xc = [F.col(q(x)).cast("double") for x in xs]
     complete = df.filter(yc.isNotNull())
     for x in xs:
         complete = complete.filter(F.col(q(x)).isNotNull())
-    p = len(cols)
-    aggs = [F.sum(cols[i] * cols[j]).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)]
-    aggs += [F.sum(cols[i] * yc).alias(f"b{i}") for i in range(p)]
+    m = complete.agg(F.avg(yc).alias("my"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(xc)]).first()
+    my = m["my"] or 0.0
+    mx = [m[f"m{i}"] or 0.0 for i in range(len(xs))]
+    dx = [c - F.lit(mx[i]) for i, c in enumerate(xc)]
+    dy = yc - F.lit(my)
+    p = len(xs)
+    aggs = [F.sum(dx[i] * dx[j]).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)]
+    aggs += [F.sum(dx[i] * dy).alias(f"b{i}") for i in range(p)]
     r = complete.agg(*aggs).first()
     A = np.zeros((p, p))
     for i in range(p):
         for j in range(i, p):
             A[i, j] = A[j, i] = r[f"a{i}_{j}"] or 0.0
     bvec = np.array([r[f"b{i}"] or 0.0 for i in range(p)])
-    beta = np.linalg.lstsq(A, bvec, rcond=None)[0]
-    fitted = sum((F.lit(float(beta[i])) * cols[i] for i in range(p)), F.lit(0.0))
+    beta = np.linalg.lstsq(A, bvec, rcond=None)[0] if p else np.zeros(0)
+    intercept = my - float(sum(beta[i] * mx[i] for i in range(p)))
+    fitted = F.lit(intercept) + sum((F.lit(float(beta[i])) * xc[i] for i in range(p)), F.lit(0.0))
     err = yc - fitted
     stats = complete.agg(
         F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("mse"), F.max(F.abs(err)).alias("max_abs_error"),
@@ -108,9 +115,9 @@ def linear_redundancy(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[DataFra
         F.var_pop(yc).alias("_vy"))
     stats = stats.select("n", (F.lit(1.0) - F.col("mse") / F.col("_vy")).alias("r2"), "mse",
                          F.sqrt("mse").alias("rmse"), "max_abs_error", "pct_within_1",
-                         F.lit(float(beta[0])).alias("intercept"),
-                         *[F.lit(float(beta[i + 1])).alias(f"coef_{x}") for i, x in enumerate(xs)])
-    return stats, {"intercept": float(beta[0]), **{x: float(beta[i + 1]) for i, x in enumerate(xs)}}
+                         F.lit(intercept).alias("intercept"),
+                         *[F.lit(float(beta[i])).alias(f"coef_{x}") for i, x in enumerate(xs)])
+    return stats, {"intercept": intercept, **{x: float(beta[i]) for i, x in enumerate(xs)}}
 
 
 def composite_check(df: DataFrame, total: str, parts: Sequence[str]) -> DataFrame:

@@ -232,14 +232,16 @@ def q_repeated_stratified_kfold(spark, sf):
 
 
 @register("random_undersample", """
-SELECT c_custkey, c_mktsegment FROM (
-  SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('42:' || c_custkey)) AS rk FROM customer)
-WHERE (c_mktsegment = 'BUILDING' AND rk <= 100) OR (c_mktsegment = 'MACHINERY' AND rk <= 150)
-   OR c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
+WITH t AS (SELECT ((count(*) // 5) * 4) // count(DISTINCT c_mktsegment) AS n FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('42:' || c_custkey)) AS rk FROM customer)
+SELECT c_custkey, c_mktsegment FROM r, t
+WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR rk <= t.n
 """)
 def q_random_undersample(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    return RS.random_undersample(c, "c_mktsegment", "c_custkey", {"BUILDING": 100, "MACHINERY": 150}, 42)
+    counts = RS.class_counts(c, "c_mktsegment")
+    n = RS.fold_resample_target(sum(counts.values()), 5, len(counts))  # R7 per-fold target
+    return RS.random_undersample(c, "c_mktsegment", "c_custkey", {"BUILDING": n, "MACHINERY": n}, 42)
 
 
 @register("resample_targets", """
