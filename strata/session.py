@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # only applies when this process launches the JVM (local runs, tests)
+    "spark.driver.memory": "8g",
     "spark.ui.showConsoleProgress": "false",
     # Broadcast only when the planner has a size estimate below this bound;
     # explicit broadcast() hints in the library sit behind their own checks.
