@@ -107,3 +107,24 @@ def test_undo_fixture25(spark):
     assert sorted(r["k"] for r in IO.live_rows(spark, path).collect()) == [1]
     IO.append_feedback(a.withColumn("k", F.lit(3)), path, ["k", "v"], 3)
     assert IO.undo_last_append(spark, path, 1, 11) is False
+
+
+def test_knn_impute_fixture15(spark):
+    from strata.operators.impute import knn_impute
+    df = spark.createDataFrame([(1, 1.0, 10.0), (2, 2.0, 20.0), (3, 3.0, 30.0), (4, 4.0, None)], "k long, a double, b double")
+    got = {r["k"]: r["b"] for r in knn_impute(df, "k", ["a", "b"], k=2, pivots=2).collect()}
+    assert got[4] == pytest.approx(25.0)
+    assert got[1] == 10.0
+
+
+def test_knn_impute_leaves_present_cells(spark):
+    from strata.operators.impute import knn_impute
+    rows = [(i, float(i % 9) if i % 4 else None, float(i % 5) if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    out = {r["k"]: (r["a"], r["b"]) for r in knn_impute(df, "k", ["a", "b"], k=3, pivots=4).collect()}
+    for k, a, b in rows:
+        if a is not None:
+            assert out[k][0] == a
+        if b is not None:
+            assert out[k][1] == b
+        assert out[k][0] is not None and out[k][1] is not None
