@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import fit_z_score
-from .neighbours import NeighbourIndex
+from .neighbours import NeighbourIndex, tie_key
 from .select import q
 
 
@@ -74,7 +74,7 @@ def knn_impute(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, donors:
     if cands is None:
         fills = None
     else:
-        w = Window.partitionBy("_k", "_c").orderBy("_d", "_dk")
+        w = Window.partitionBy("_k", "_c").orderBy(tie_key(F.col("_d")), "_dk")
         top = cands.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
         vals = top.join(don.select("_dk", *[f"_x{i}" for i in range(D)]), "_dk")
         pick = F.element_at(F.array(*[F.col(f"_x{i}") for i in range(D)]), F.col("_c") + 1)

@@ -35,6 +35,16 @@ from ..session import cut_lineage
 from .select import q
 
 
+# Distances equal at 1e-9 are ties (broken by the smaller key): mathematically
+# equal distances can differ by an ulp with the evaluation order.
+TIE_SLACK = 1e-9
+
+
+def tie_key(d: Column) -> Column:
+    """Distance rounded to 1e-9 (the same arithmetic in SQL engines)."""
+    return F.floor(d * F.lit(1e9) + F.lit(0.5))
+
+
 def _dist(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
@@ -139,7 +149,9 @@ class NeighbourIndex:
         return qv.withColumn("_ring", ring.cast("int"))
 
     def _search(self, qs: DataFrame, k: int | None, exclude_self: bool, ub_col: str) -> DataFrame:
-        qs = qs if ub_col == "_ub" else qs.withColumn("_ub", F.col(ub_col))
+        # TIE_SLACK on every bound: candidates tied with the k-th at 1e-9 survive the pruning
+        qs = qs.withColumn("_ub", F.col(ub_col) + F.lit(TIE_SLACK)) if k is not None else \
+            (qs if ub_col == "_ub" else qs.withColumn("_ub", F.col(ub_col)))
         keys = qs.select("_k", "_v", "_pd", "_ub", *(["_g"] if self.group else []),
                          F.explode(self._candidate_keys(qs["_ub"])).alias("_ck"))
         keys = keys.select("*", F.col("_ck.c").alias("_cell"), F.col("_ck.r").alias("_ring")).drop("_ck")
@@ -153,7 +165,7 @@ class NeighbourIndex:
         out = j.select(F.col("_k").alias("key"), F.col("_nk").alias("nbr"), F.col("_d").alias("dist"))
         if k is None:
             return out
-        w = Window.partitionBy("key").orderBy("dist", "nbr")
+        w = Window.partitionBy("key").orderBy(tie_key(F.col("dist")), "nbr")
         return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -17,7 +17,7 @@ _SRC = """c_custkey,
 
 def _need(i):
     return f"""c{i} AS (SELECT k, avg(d{i}) AS v FROM (
-      SELECT *, row_number() OVER (PARTITION BY k ORDER BY dist, dk) AS rn FROM dd WHERE r{i} IS NULL AND d{i} IS NOT NULL)
+      SELECT *, row_number() OVER (PARTITION BY k ORDER BY floor(dist * 1e9 + 0.5), dk) AS rn FROM dd WHERE r{i} IS NULL AND d{i} IS NOT NULL)
       WHERE rn <= 5 GROUP BY k)"""
 
 
