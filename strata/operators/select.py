@@ -28,7 +28,8 @@ def first_per_key(df: DataFrame, key: Sequence[str] | str, order: Sequence[str]
 
     Expressed as an aggregate (``min_by`` of the whole row) so the map side
     pre-aggregates: a hot key costs one row per input partition in the
-    shuffle, never the whole group in one task.
+    shuffle, never the whole group in one task. Project the frame to the
+    columns you need first: the packed row is not pruned afterwards.
     """
     key = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in key]

@@ -29,7 +29,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) A
 SELECT o_custkey, o_orderkey, label, round(o_totalprice, 6) AS o_totalprice FROM k WHERE rn = 1
 """)
 def q_select_baseline(spark, sf):
-    b = S.select_baseline(_orders_labelled(spark, sf), subject="o_custkey", order="o_orderkey",
+    o = _orders_labelled(spark, sf).select("o_custkey", "o_orderkey", "o_orderstatus", "label", "o_totalprice")
+    b = S.select_baseline(o, subject="o_custkey", order="o_orderkey",
                           visit="o_orderstatus", baseline_value="F", label="label")
     return b.select("o_custkey", "o_orderkey", "label", r6("o_totalprice").alias("o_totalprice"))
 
@@ -445,7 +446,8 @@ _MAP_SQL = ("(SELECT * FROM (VALUES ('1-URGENT', 'HIGH'), ('2-HIGH', 'HIGH'), ('
 
 def _orders_visits(spark, sf):
     o = table(spark, sf, "orders").selectExpr(*_split(_ORD))
-    base = S.first_per_key(o, "o_custkey", ["o_orderdate", "o_orderkey"])
+    # one row per subject, read by three branches of the back-fill plan: persist once
+    base = S.first_per_key(o, "o_custkey", ["o_orderdate", "o_orderkey"]).persist()
     visits = S.drop_rows_by_key(o, base.select("o_orderkey"), "o_orderkey")
     return base, visits
 
