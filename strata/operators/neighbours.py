@@ -59,9 +59,10 @@ class NeighbourIndex:
     radius neighbours."""
 
     def __init__(self, df: DataFrame, key: str, vec: str, group: str | None = None, pivots: int = 64,
-                 ring_size: int = 256, seed: int = 42):
+                 ring_size: int = 256, seed: int = 42, blocks: int = 4):
         from .profile import sample_n
         self.key, self.vec, self.group = key, vec, group
+        self.blocks = blocks  # > 0: blocked per-key top-k (no pair rows); 0: join-and-filter
         pts = df.select(F.col(q(key)).alias("_k"), F.col(q(vec)).cast("array<double>").alias("_v"),
                         *([F.col(q(group)).alias("_g")] if group else []))
         piv = [list(r["_v"]) for r in sample_n(pts, "_k", pivots, seed).collect()]  # bounded: P x d
@@ -132,8 +133,66 @@ class NeighbourIndex:
                   .select("_k", F.col("_d").alias("_own_ub")))
         qs = qs.join(own_ub, "_k", "left").withColumn(
             "_ub", F.least(piv_ub, F.coalesce(F.col("_own_ub"), F.lit(float("inf")))))
+        if self.blocks:
+            return self._search_blocked(qs, k, exclude_self, self.blocks)
         return self._search(qs, k, exclude_self, ub_col="_ub")
 
+    def _search_blocked(self, qs: DataFrame, k: int, exclude_self: bool, blocks: int) -> DataFrame:
+        """k-NN search without pair rows: queries are grouped by the (cell,
+        ring) keys they must visit (split into ``blocks`` query blocks so a
+        popular key is shared by several tasks), cogrouped with that key's
+        points, and one numpy kernel per group emits only each query's k
+        nearest (plus exact ties at the cut). The final top-k per query
+        merges at most k rows per visited key."""
+        import numpy as np
+        import pandas as pd
+        qs = qs.withColumn("_ub", F.col("_ub") + F.lit(TIE_SLACK))
+        g = ["_g"] if self.group else []
+        keys = qs.select("_k", "_v", "_pd", "_ub", *g, F.explode(self._candidate_keys(qs["_ub"])).alias("_ck"))
+        keys = keys.select("_k", "_v", "_ub", *g, F.col("_ck.c").alias("_cell"), F.col("_ck.r").alias("_ring"),
+                           F.col("_pd")[F.col("_ck.c")].alias("_dq"),
+                           F.pmod(F.xxhash64("_k"), F.lit(blocks)).cast("int").alias("_qb"))
+        pts = self.points.select(F.col("_k").alias("_nk"), F.col("_v").alias("_nv"), "_cell", "_ring",
+                                 F.col("_r").alias("_nr"), *g,
+                                 F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_qb"))
+        ktype = self.points.schema["_k"].dataType.simpleString()
+        schema = f"key {ktype}, nbr {ktype}, dist double"
+        kk = int(k)
+
+        def block(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+            if qdf.empty or pdf.empty:
+                return pd.DataFrame({"key": pd.Series([], dtype=object), "nbr": pd.Series([], dtype=object),
+                                     "dist": pd.Series([], dtype="float64")})
+            P = np.stack(pdf["_nv"].to_numpy())
+            pk = pdf["_nk"].to_numpy()
+            pr = pdf["_nr"].to_numpy(dtype="float64")
+            outk, outn, outd = [], [], []
+            for s0 in range(0, len(qdf), 128):  # bounded memory: 128 queries x |ring| x d
+                part = qdf.iloc[s0:s0 + 128]
+                Q = np.stack(part["_v"].to_numpy())
+                diff = Q[:, None, :] - P[None, :, :]
+                D = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+                ub = part["_ub"].to_numpy(dtype="float64")[:, None]
+                ok = (np.abs(part["_dq"].to_numpy(dtype="float64")[:, None] - pr[None, :]) <= ub) & (D <= ub)
+                qk = part["_k"].to_numpy()
+                if exclude_self:
+                    ok &= qk[:, None] != pk[None, :]
+                D = np.where(ok, D, np.inf)
+                m = min(kk, D.shape[1])
+                kth = np.partition(D, m - 1, axis=1)[:, m - 1:m]
+                keep = np.isfinite(D) & (D <= kth + TIE_SLACK)
+                qi, pi = np.nonzero(keep)
+                outk.append(qk[qi])
+                outn.append(pk[pi])
+                outd.append(D[qi, pi])
+            return pd.DataFrame({"key": np.concatenate(outk), "nbr": np.concatenate(outn),
+                                 "dist": np.concatenate(outd)})
+
+        gk = ["_cell", "_ring", "_qb"] + g
+        found = keys.groupBy(*gk).cogroup(pts.groupBy(*gk)).applyInPandas(block, schema)
+        w = Window.partitionBy("key").orderBy(tie_key(F.col("dist")), "nbr")
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
     def radius(self, eps: float, include_self: bool = True) -> DataFrame:
         """All (key, nbr, dist) with dist <= eps: the eps-graph."""
         qs = self.points.withColumn("_ub", F.lit(float(eps)))
