@@ -122,9 +122,14 @@ class NeighbourIndex:
         # 3. upper bound: k-th nearest pivot, tightened by the own ring.
         kk = k + (1 if exclude_self else 0)
         piv_ub = F.when(F.lit(self.P) >= kk, F.sort_array(F.col("_pd"))[kk - 1]).otherwise(F.lit(float("inf")))
-        own = (qs.select("_k", "_v", "_cell", "_ring", *[a for a, _ in same_group])
-               .join(pts.select(F.col("_k").alias("_nk"), F.col("_v").alias("_nv"), "_cell", "_ring",
-                                *[F.col(b) for _, b in same_group]), ["_cell", "_ring"] + [a for a, _ in same_group]))
+        qsel = qs.select("_k", "_v", F.col("_cell").alias("_qc"), F.col("_ring").alias("_qr"),
+                         *[F.col(a).alias("_qg") for a, _ in same_group])
+        psel = pts.select(F.col("_k").alias("_nk"), F.col("_v").alias("_nv"), F.col("_cell").alias("_pc"),
+                          F.col("_ring").alias("_pr"), *[F.col(b).alias("_pg") for _, b in same_group])
+        cond = (F.col("_qc") == F.col("_pc")) & (F.col("_qr") == F.col("_pr"))
+        if same_group:
+            cond = cond & (F.col("_qg") == F.col("_pg"))
+        own = qsel.join(psel, cond)
         if exclude_self:
             own = own.filter(F.col("_k") != F.col("_nk"))
         own = own.withColumn("_d", _dist(F.col("_v"), F.col("_nv")))
@@ -152,8 +157,9 @@ class NeighbourIndex:
         keys = keys.select("_k", "_v", "_ub", *g, F.col("_ck.c").alias("_cell"), F.col("_ck.r").alias("_ring"),
                            F.col("_pd")[F.col("_ck.c")].alias("_dq"),
                            F.pmod(F.xxhash64("_k"), F.lit(blocks)).cast("int").alias("_qb"))
-        pts = self.points.select(F.col("_k").alias("_nk"), F.col("_v").alias("_nv"), "_cell", "_ring",
-                                 F.col("_r").alias("_nr"), *g,
+        pts = self.points.select(F.col("_k").alias("_nk"), F.col("_v").alias("_nv"), F.col("_cell").alias("_cell"),
+                                 F.col("_ring").alias("_ring"), F.col("_r").alias("_nr"),
+                                 *[F.col(x).alias(x) for x in g],
                                  F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_qb"))
         ktype = self.points.schema["_k"].dataType.simpleString()
         schema = f"key {ktype}, nbr {ktype}, dist double"
@@ -209,18 +215,25 @@ class NeighbourIndex:
 
     def _search(self, qs: DataFrame, k: int | None, exclude_self: bool, ub_col: str) -> DataFrame:
         # TIE_SLACK on every bound: candidates tied with the k-th at 1e-9 survive the pruning
-        qs = qs.withColumn("_ub", F.col(ub_col) + F.lit(TIE_SLACK)) if k is not None else \
-            (qs if ub_col == "_ub" else qs.withColumn("_ub", F.col(ub_col)))
-        keys = qs.select("_k", "_v", "_pd", "_ub", *(["_g"] if self.group else []),
+        # the pruning bounds get TIE_SLACK (a tight triangle inequality can miss by an ulp); the final
+        # distance filter is exact for radius queries and keeps ties at the k-th for k-NN.
+        exact_ub = F.col(ub_col)
+        qs = qs.withColumn("_exact_ub", exact_ub).withColumn("_ub", exact_ub + F.lit(TIE_SLACK))
+        keys = qs.select("_k", "_v", "_pd", "_ub", "_exact_ub", *(["_g"] if self.group else []),
                          F.explode(self._candidate_keys(qs["_ub"])).alias("_ck"))
         keys = keys.select("*", F.col("_ck.c").alias("_cell"), F.col("_ck.r").alias("_ring")).drop("_ck")
-        cand = self.points.select(F.col("_k").alias("_nk"), F.col("_v").alias("_nv"), "_cell", "_ring",
-                                  F.col("_r").alias("_nr"), *(["_g"] if self.group else []))
-        j = keys.join(cand, ["_cell", "_ring"] + (["_g"] if self.group else []))
+        cand = self.points.select(F.col("_k").alias("_nk"), F.col("_v").alias("_nv"), F.col("_cell").alias("_pc"),
+                                  F.col("_ring").alias("_pr"), F.col("_r").alias("_nr"),
+                                  *([F.col("_g").alias("_pg")] if self.group else []))
+        cond = (F.col("_cell") == F.col("_pc")) & (F.col("_ring") == F.col("_pr"))
+        if self.group:
+            cond = cond & (F.col("_g") == F.col("_pg"))
+        j = keys.join(cand, cond)
         j = j.filter(F.abs(F.col("_pd")[F.col("_cell")] - F.col("_nr")) <= F.col("_ub"))  # per-point bound
         if exclude_self:
             j = j.filter(F.col("_k") != F.col("_nk"))
-        j = j.withColumn("_d", _dist(F.col("_v"), F.col("_nv"))).filter(F.col("_d") <= F.col("_ub"))
+        limit = F.col("_ub") if k is not None else F.col("_exact_ub")
+        j = j.withColumn("_d", _dist(F.col("_v"), F.col("_nv"))).filter(F.col("_d") <= limit)
         out = j.select(F.col("_k").alias("key"), F.col("_nk").alias("nbr"), F.col("_d").alias("dist"))
         if k is None:
             return out

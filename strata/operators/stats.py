@@ -127,3 +127,58 @@ def composite_check(df: DataFrame, total: str, parts: Sequence[str]) -> DataFram
     t = F.col(q(total)).cast("double")
     return df.agg(F.max(F.abs(t - s)).alias("max_abs_diff_sum"), F.max(F.abs(t - m)).alias("max_abs_diff_mean"),
                   F.corr(t, s).alias("corr_sum"), F.corr(t, m).alias("corr_mean"))
+
+
+def digamma_int(n) -> "F.Column":
+    """psi(n) for integer n >= 1 as a Column expression: exact harmonic sums
+    below 8, the asymptotic series above (error < 1e-10)."""
+    x = n.cast("double")
+    euler = 0.5772156649015329
+    small = None
+    for m in range(7, 0, -1):
+        val = -euler + sum(1.0 / j for j in range(1, m))
+        small = F.when(x == m, F.lit(val)) if small is None else small.when(x == m, F.lit(val))
+    inv = F.lit(1.0) / x
+    inv2 = inv * inv
+    big = F.log(x) - 0.5 * inv - inv2 * (F.lit(1.0 / 12) - inv2 * (F.lit(1.0 / 120) - inv2 * F.lit(1.0 / 252)))
+    return small.otherwise(big)
+
+
+def mutual_information(df: DataFrame, key: str, feature: str, label: str, k: int = 3) -> DataFrame:
+    """Mutual information between a continuous feature and a class label
+    (Ross 2014, the k-NN estimator): per point, the distance d_i to its k-th
+    nearest neighbour of the same class (exact 1-D k-NN from the pivot/ring
+    index, grouped by class), m_i = number of points with |x_j - x_i| < d_i
+    (self included; points equal to x_i when d_i = 0; distances equal at 1e-9
+    are ties, as in the neighbour index), then
+    MI = psi(N) + <psi(k_i)> - <psi(N_class)> - <psi(m_i)>, floored at 0.
+    Classes with one point are ignored. m_i comes from bucketed cumulative
+    radius search on the same index (neighbourhoods of size ~ k x classes)."""
+    from .neighbours import NeighbourIndex, tie_key
+    x = F.col(q(feature)).cast("double")
+    d = df.select(F.col(q(key)).alias("_key"), x.alias("_x"), F.col(q(label)).alias("_y")).filter(
+        F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    sizes = d.groupBy("_y").agg(F.count(F.lit(1)).alias("_nc"))
+    d = d.join(sizes.filter(F.col("_nc") > 1), "_y")
+    d = d.withColumn("_k", F.least(F.lit(k), F.col("_nc") - 1)).cache()
+    idx = NeighbourIndex(d.select("_key", F.array("_x").alias("_v"), "_y"), "_key", "_v", group="_y", pivots=16)
+    nn = idx.knn(k)
+    kd = (nn.join(d.select(F.col("_key").alias("key"), "_k"), "key").filter(F.col("rank") == F.col("_k"))
+          .select(F.col("key").alias("_key"), F.col("dist").alias("_r")))
+    pts = d.join(kd, "_key")
+    # m_i: radius search with the query's own radius r_i on an index of all
+    # points (within-class k-th distances keep these neighbourhoods small);
+    # the strict '<' is applied to the same |x_j - x_i| distances.
+    allx = NeighbourIndex(d.select("_key", F.array("_x").alias("_v")), "_key", "_v", pivots=16)
+    qs = allx.points.join(kd.select(F.col("_key").alias("_k"), F.col("_r").alias("_ub")), "_k")
+    near = allx._search(qs, None, False, ub_col="_ub").join(kd.select(F.col("_key").alias("key"), "_r"), "key")
+    # distances equal at 1e-9 count as equal (the index's tie rule): '<' and '=' on tie keys
+    inside = F.when(tie_key(F.col("_r")) > 0, tie_key(F.col("dist")) < tie_key(F.col("_r"))).otherwise(
+        tie_key(F.col("dist")) == 0)
+    counts = near.groupBy(F.col("key").alias("_key")).agg(F.sum(inside.cast("long")).alias("_m"))
+    m = pts.join(counts, "_key")
+    agg = m.agg(F.count(F.lit(1)).alias("n"), F.avg(digamma_int(F.col("_k"))).alias("pk"),
+                F.avg(digamma_int(F.col("_nc"))).alias("pn"), F.avg(digamma_int(F.col("_m"))).alias("pm"))
+    return agg.select(F.lit(feature).alias("feature"), "n",
+                      F.greatest(F.lit(0.0), digamma_int(F.col("n")) + F.col("pk") - F.col("pn") - F.col("pm"))
+                      .alias("mi"))

@@ -410,3 +410,16 @@ def q_composite_check(spark, sf):
         "l_quantity + l_discount * 100 + l_tax * 100 AS total")
     c = T.composite_check(li, "total", ["a", "b", "c"])
     return c.select(*[r6(x).alias(x) for x in c.columns])
+
+
+@register("mutual_information")
+def q_mutual_information(spark, sf):
+    """K-NN mutual information (k=3) of document length and of the
+    source id with the quality x toxic class (rows-only check; the estimator
+    is checked against brute force in tests)."""
+    p = predictions(spark, sf)
+    doc = table(spark, sf, "documents").select("doc_id", "n_chars", F.expr("CAST(substr(source, 4) AS DOUBLE)").alias("src"))
+    d = p.select("doc_id", "true_label").join(doc, "doc_id")
+    return (T.mutual_information(d, "doc_id", "n_chars", "true_label")
+            .unionByName(T.mutual_information(d, "doc_id", "src", "true_label"))
+            .select("feature", "n", r6("mi").alias("mi")))

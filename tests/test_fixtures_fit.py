@@ -130,3 +130,43 @@ def test_undersample_error_when_small(spark):
     df = spark.createDataFrame([(i, "a") for i in range(3)], "k int, y string")
     with pytest.raises(ValueError):
         RS.random_undersample(df, "y", "k", {"a": 5})
+
+
+def _psi(n):
+    import math
+    return -0.5772156649015329 + sum(1.0 / j for j in range(1, n)) if n < 2000 else math.log(n) - 1 / (2 * n)
+
+
+def _mi_brute(xs, ys, k=3):
+    import math
+    from collections import Counter
+    cnt = Counter(ys)
+    pts = [(x, y) for x, y in zip(xs, ys) if cnt[y] > 1]
+    n = len(pts)
+    acc_k = acc_n = acc_m = 0.0
+    for i, (x, y) in enumerate(pts):
+        same = sorted(abs(x - x2) for j, (x2, y2) in enumerate(pts) if y2 == y and j != i)
+        kk = min(k, cnt[y] - 1)
+        r = same[kk - 1]
+        tk = lambda v: math.floor(v * 1e9 + 0.5)  # noqa: E731 - the library's tie rule
+        m = sum(1 for x2, _ in pts if (tk(abs(x2 - x)) < tk(r) if tk(r) > 0 else tk(abs(x2 - x)) == 0))
+        acc_k += _psi(kk)
+        acc_n += _psi(cnt[y])
+        acc_m += _psi(m)
+    return max(0.0, _psi(n) + acc_k / n - acc_n / n - acc_m / n)
+
+
+def test_mutual_information_matches_brute_force(spark):
+    import math
+    xs = [round(math.sin(i * 0.7) * 5 + (i % 3), 3) for i in range(90)] + [1.0, 1.0, 2.0]
+    ys = ["a" if x > 1 else ("b" if i % 2 else "c") for i, x in enumerate(xs)]
+    ys[-1] = "solo"
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(xs, ys))], "k long, x double, y string")
+    got = T.mutual_information(df, "k", "x", "y").first()
+    assert got["mi"] == pytest.approx(_mi_brute(xs, ys), abs=1e-9)
+
+
+def test_digamma_int(spark):
+    df = spark.range(1, 40).select(F.col("id"), T.digamma_int(F.col("id")).alias("p"))
+    for r in df.collect():
+        assert r["p"] == pytest.approx(_psi(r["id"]), abs=1e-9)
