@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strata.session import checkpoint_dir
 
@@ -88,3 +89,9 @@ def slices(batch: pa.RecordBatch, rows: int = 512):
     """``batch`` in parts, so that what is made of whole texts stays small."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def fits(small: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """``small`` (a written table) with a broadcast hint if its counted rows take at most ``most`` bytes; else it
+    is joined by a shuffle."""
+    return F.broadcast(small) if small.count() * row_bytes <= most else small
