@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_scan import WORDS_ONLY
-from .shared import slices, strings
+from .shared import carried, slices, strings, uncarried
 
 #: Characters of a normalised item for each allowed edit.
 CHARS_PER_EDIT = 16
@@ -114,6 +114,24 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = C
     return own.sparkSession.createDataFrame([], MATCH) if found is None else found
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_bytes: int = BLOCK_BYTES,
+                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no test item stands (see ``benchmark_matches``)."""
+    for block in item_blocks(items.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text).alias("t")), block_bytes):
+        own = docs.select(F.col(f"`{text_col}`").alias("text"), *carried(docs, id_col, text_col, True))
+        docs = uncarried(own.mapInArrow(_cleaner(block, chars_per_edit), own.schema), docs.columns, text_col)
+    return docs
+
+
+def _cleaner(block: list[tuple[int, bytes]], chars_per_edit: int):
+    def rows(batches):
+        items = Items(block, chars_per_edit)
+        for batch in batches:
+            for b in slices(batch):
+                yield b.filter(pa.array([not items.matches(normalised(t)) for t in strings(b.column(0))], pa.bool_()))
+    return rows
+
+
 def item_blocks(items: DataFrame, block_bytes: int):
     """Lists of (id, normalised text), each of at most ``block_bytes`` (or one item); rows come one by one."""
     block, size = [], 0

@@ -16,6 +16,8 @@ from .shared import written
 SAMPLE, TREES, LEAVES = 20_000, 8, 64
 #: The search of a query ends when the leaves that it has taken would hold this share of the rows if trees were independent.
 COVERAGE = 0.76
+#: The search goes on until one tree's leaves hold so many rows (all, if there are fewer), so that small tables give whole answers.
+LEAST_ROWS = 500
 #: Rows of a leaf that one task compares at once.
 BLOCK_ROWS = 20_000
 
@@ -72,17 +74,18 @@ def fit_tree(sample: np.ndarray, leaves: int, rng: np.random.Generator) -> Tree:
     return Tree(np.asarray(normals), np.asarray(thresholds), np.asarray(below), np.asarray(above))
 
 
-def visits(forest: list[Tree], sizes: dict[tuple[int, int], int], total: int, vector: np.ndarray, coverage: float) -> list[tuple[int, int]]:
-    """Leaves for one query, from one queue over all trees ordered by the distance to the planes on the way."""
-    queue, taken, missed, out = [(0.0, t, 0) for t in range(len(forest))], [0.0] * len(forest), 1.0, []
-    while queue and missed > 1 - coverage:
+def visits(forest: list[Tree], sizes: dict[tuple[int, int], int], total: int, vector: np.ndarray, coverage: float, least: int) -> list[tuple[int, int]]:
+    """Leaves for one query, from one queue over all trees ordered by the distance to the planes on the way, until they
+    reach ``coverage`` and one tree's hold ``least`` rows."""
+    queue, taken, missed, out = [(0.0, t, 0) for t in range(len(forest))], [0] * len(forest), 1.0, []
+    while queue and (missed > 1 - coverage or max(taken) < least):
         far, t, node = heapq.heappop(queue)
         tree = forest[t]
         if tree.below[node] < 0:
             if n := sizes.get((t, node), 0):
                 out.append((t, node))
-                taken[t] += n / total
-                missed = float(np.prod([1 - min(1.0, x) for x in taken]))
+                taken[t] += n
+                missed = float(np.prod([1 - x / total for x in taken]))
             continue
         gap = float(vector @ tree.normals[node] - tree.thresholds[node])
         heapq.heappush(queue, (max(far, gap) if gap > 0 else far, t, int(tree.below[node])))
@@ -114,7 +117,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
        the shuffle, so a vector that a third of all rows have is one row.
     2. ``trees`` trees are fitted on at most ``sample`` vectors (the first by a hash), which come to the driver; every
        vector is put in a leaf of each tree. A leaf's rows are dealt to blocks of about ``block_rows``.
-    3. A query takes leaves of all trees from one priority queue until ``coverage`` is reached. Those leaves' rows are
+    3. A query takes leaves of all trees from one priority queue until ``coverage`` and ``LEAST_ROWS`` are reached. Those leaves' rows are
        compared exactly, and each block sends on the k + 1 nearest only.
 
     Rows with null id, or with a vector that is null, zero or holds null or non-finite components, take no part,
@@ -141,7 +144,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     blocks = max(1, -(-max(sizes.values(), default=1) // block_rows))
 
     queries = points.join(asked.select("node").distinct(), "node").select("node", "vec")
-    visited = queries.mapInArrow(_searcher(forest, sizes, total, dim, coverage), placed.schema).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    visited = queries.mapInArrow(_searcher(forest, sizes, total, dim, coverage, max(k + 1, LEAST_ROWS)), placed.schema).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     candidates = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
     keys = ["tree", "leaf", "block"]
     near = visited.groupBy(keys).cogroup(candidates.groupBy(keys)).applyInArrow(_comparer(dim, k), "query bigint, node bigint, score double")
@@ -169,13 +172,13 @@ def _placer(forest: list[Tree], dim: int):
     return rows
 
 
-def _searcher(forest: list[Tree], sizes: dict[tuple[int, int], int], total: int, dim: int, coverage: float):
+def _searcher(forest: list[Tree], sizes: dict[tuple[int, int], int], total: int, dim: int, coverage: float, least: int):
     def rows(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 data = matrix(b.column(1), dim)
-                seen = [visits(forest, sizes, total, v, coverage) for v in data]
+                seen = [visits(forest, sizes, total, v, coverage, least) for v in data]
                 own = pa.array(np.repeat(np.arange(len(data)), [len(s) for s in seen]))
                 flat = [x for s in seen for x in s]
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in flat], pa.int32()), pa.array([n for _, n in flat], pa.int32()), b.column(0).take(own), b.column(1).take(own)], names=["tree", "leaf", "node", "vec"])

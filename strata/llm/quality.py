@@ -9,8 +9,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import slices, strings
+from .shared import carried, slices, strings
 
 LEVEL = 3
 
@@ -98,25 +99,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return CompressionClassifier(bad, good, tuple(float(w) for w in weights))
 
 
-def quality_scores(docs: DataFrame, model: CompressionClassifier, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def quality_scores(docs: DataFrame, model: CompressionClassifier, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= ``threshold``) of every whole text.
 
     One pass without any shuffle; the model is under a quarter of a megabyte. A null text is scored as the
-    empty one; rows with equal or null ids each get their row; an empty table gives no rows. ``keep`` names
-    columns to carry along in place of the id.
+    empty one; rows with equal or null ids each get their row; an empty table gives no rows. With ``carry``
+    there are ``text`` and ``row`` (all other columns, whatever their names) in place of the id.
     """
-    carried = [F.col(f"`{c}`") for c in keep] if keep else [F.col(id_col).cast("bigint").alias("doc_id")]
-    own = docs.select(F.col(f"`{text_col}`").alias("_text"), *carried)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[1:])
-    names = [*own.columns[1:], "score", "predicted"]
+    own = docs.select(F.col(f"`{text_col}`").alias("text"), *carried(docs, id_col, text_col, carry))
+    result = own if carry else own.drop("text")
 
     def rows(batches):
         for batch in batches:
             for b in slices(batch):
                 score = model.scores(strings(b.column(0)))
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([*b.columns[0 if carry else 1:], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=names)
 
-    return own.mapInArrow(rows, f"{schema}score double, predicted int")
+    names = [*result.columns, "score", "predicted"]
+    return own.mapInArrow(rows, T.StructType([*result.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

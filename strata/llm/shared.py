@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.session import checkpoint_dir
@@ -80,6 +80,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def carried(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> list[Column]:
+    """What an operator takes of a document besides its text: the id as ``doc_id`` or, to carry all columns along
+    whatever their names, ``row`` with all columns but the text."""
+    if carry:
+        return [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")]
+    return [F.col(f"`{id_col}`").cast("bigint").alias("doc_id")]
+
+
+def uncarried(df: DataFrame, columns: list[str], text_col: str, **changed: Column) -> DataFrame:
+    """``columns`` as they were, from ``row`` and ``text``, but for ``changed``."""
+    own = {c: F.col("text") if c == text_col else F.col(f"row.`{c}`") for c in columns} | {c: v for c, v in changed.items() if c in columns}
+    return df.select(*[v.alias(c) for c, v in own.items()])
+
+
 def strings(column: pa.Array) -> list[str]:
     """Values of a string column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

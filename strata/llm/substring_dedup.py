@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import fits, mixed, rolling, slices, strings, word_hashes, written
+from .shared import carried, mixed, rolling, slices, strings, word_hashes, written
 
 #: Words of a window, and of the part whose smallest hash is a window's fingerprint.
 WINDOW, PART = 50, 10
@@ -216,10 +217,10 @@ def covered(n_words: int, runs: list[dict] | None) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Remove each word that a window of ``WINDOW`` successive words covers whose words also start in a document
-    with a smaller id. One row a document: doc_id (or the columns ``keep``), n_words, n_removed, kept (the
-    remaining words joined by one space; the text as it is where nothing goes) and kept_sha256 (of those words).
+    with a smaller id. One row a document: doc_id, n_words, n_removed, text (the remaining words joined by one
+    space; as it was, null too, where nothing goes) and kept_sha256 (of the remaining words joined by one space).
 
     1. Each window has a fingerprint, the smallest hash of its ten-word runs. Tasks count the fingerprints of
        their documents in count-min sketches, blocks of which are merged; the sketch grows with the input (eight
@@ -231,30 +232,32 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Windows are judged on the input, not on what is left. A null text is empty. Rows with equal ids do not
     repeat each other, and each loses what a smaller id has. A row with a null id loses nothing, and takes
-    nothing from others. Other columns are not used. An empty table gives no rows.
+    nothing from others. An empty table gives no rows. With ``carry`` there is ``row`` (all columns but the text,
+    whatever their names) in place of the id.
     """
-    carried = [F.col(f"`{c}`") for c in keep] if keep else [F.col(id_col).cast("bigint").alias("doc_id")]
-    own = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *carried)
-    runs = written(repeated_runs(own.where("_id IS NOT NULL").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"))), "runs")
+    own = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("bigint").alias("id"), *carried(docs, id_col, text_col, carry))
+    runs = written(repeated_runs(own.where("id IS NOT NULL").select(F.col("id").alias("doc_id"), "text")), "runs")
     size = runs.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("runs")).alias("runs")).first()
-    hinted = runs.select(F.col("doc_id").alias("_id"), F.col("runs").alias("_runs"))
-    hinted = F.broadcast(hinted) if 8 * (size["runs"] or 0) + 24 * size["docs"] <= 32 << 20 else hinted
-    joined = own.join(hinted, "_id", "left").select("_text", "_runs", *[f"`{c}`" for c in own.columns[2:]])
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[2:])
-    names = [*own.columns[2:], "n_words", "n_removed", "kept", "kept_sha256"]
+    cut = runs.select(F.col("doc_id").alias("id"), "runs")
+    if 8 * (size["runs"] or 0) + 24 * size["docs"] <= 32 << 20:
+        cut = F.broadcast(cut)
+    last = own.columns[-1]
 
     def rows(batches):
         for batch in batches:
             for b in slices(batch):
                 out = []
-                for text, runs in zip(strings(b.column(0)), b.column(1).to_pylist()):
-                    words = words_of(text)
-                    left = words
-                    if runs:
-                        left = [w for w, gone in zip(words, covered(len(words), runs)) if not gone]
+                for text, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    left = words = words_of(text or "")
+                    if known:
+                        left = [w for w, gone in zip(words, covered(len(words), known)) if not gone]
                     joined = b" ".join(left)
                     out.append((len(words), len(words) - len(left), joined.decode() if len(left) < len(words) else text, hashlib.sha256(joined).hexdigest()))
                 n, gone, kept, digest = zip(*out)
-                yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(2), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=[last, *RESULT])
 
-    return joined.mapInArrow(rows, f"{schema}n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+    kinds = zip(RESULT, (T.LongType(), T.LongType(), T.StringType(), T.StringType()))
+    return own.join(cut, "id", "left").select("text", "runs", last).mapInArrow(rows, T.StructType([own.schema[last], *[T.StructField(n, k) for n, k in kinds]]))
+
+
+RESULT = ("n_words", "n_removed", "text", "kept_sha256")
