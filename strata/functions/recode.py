@@ -172,13 +172,23 @@ def row_mean(cols: Sequence) -> Column:
     return F.when(n > 0, row_sum(cols) / n)
 
 
+def bound_to(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: inside a lambda a plain
+    reference would be computed again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def array_shares(arr: Column) -> Column:
+    """Each element over the sum of all, which is computed once."""
+    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+    return bound_to(total, lambda t: F.transform(arr, lambda x: x / t))
+
+
 def softmax_array(arr) -> Column:
     """C20: max-shifted softmax over an array<double> column."""
     a = _as_col(arr)
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+    return bound_to(F.struct(a.alias("a"), F.array_max(a).alias("m")), lambda t: bound_to(
+        F.transform(t["a"], lambda x: F.exp(x - t["m"])), array_shares))
 
 
 def format_percent(c, digits: int = 2) -> Column:

@@ -282,7 +282,3 @@ def bin_summary(df: DataFrame, value: str, bin_col: str, examples: int = 5) -> D
     ex = ex.withColumnRenamed(bin_col, "_bin")
     return (out.join(ex, out[q(bin_col)].eqNullSafe(ex["_bin"]), "left")
             .select(q(bin_col), "count", "pct", "min", "max", "examples"))
-
-
-def double_cols(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.recode import array_shares, bound_to
 from .ranks import value_ranks
 from .select import q
 
@@ -29,8 +30,7 @@ def align_probabilities(df: DataFrame, probs: str, model_classes: Sequence[str],
     without probabilities fall back to the one-hot of ``pred``."""
     pos = {c: i for i, c in enumerate(model_classes)}
     picked = F.array(*[(F.col(q(probs))[pos[c]] if c in pos else F.lit(floor)).cast("double") for c in classes])
-    total = F.aggregate(picked, F.lit(0.0), lambda a, x: a + x)
-    norm = F.transform(picked, lambda x: x / total)
+    norm = bound_to(picked, array_shares)
     if pred is not None:
         onehot = F.array(*[F.when(F.col(q(pred)) == F.lit(c), F.lit(1.0)).otherwise(F.lit(0.0)) for c in classes])
         norm = F.when(F.col(q(probs)).isNull(), onehot).otherwise(norm)
@@ -138,18 +138,13 @@ def roc_curve(df: DataFrame, true: str, probs: str, classes: Sequence[str], by:
     fp = (F.col("A") - F.col("below_n_all")) - tp
     pts = c.select(*[q(b) for b in by], "class", F.col("score").cast("double").alias("threshold"),
                    F.when(F.col("P") > 0, tp / F.col("P")).alias("tpr"),
-                   F.when(F.col("A") > F.col("P"), fp / (F.col("A") - F.col("P"))).alias("fpr"))
-    start = tot.select(*[q(b) for b in by], "class", F.lit(None).cast("double").alias("threshold"),
-                       F.when(F.col("P") > 0, F.lit(0.0)).alias("tpr"),
-                       F.when(F.col("A") > F.col("P"), F.lit(0.0)).alias("fpr"))
-    return pts.unionByName(start)
-
-
-def metric_long(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by..., metric, value) long form of a ``metric_set`` table."""
-    names = [c for c in metrics.columns if c not in by]
-    return metrics.select(*[q(b) for b in by], *[F.col(c).cast("double").alias(c) for c in names]).unpivot(
-        list(by), names, "metric", "value")
+                   F.when(F.col("A") > F.col("P"), fp / (F.col("A") - F.col("P"))).alias("fpr"), "P")
+    start = tot.select(*[q(b) for b in by], "class", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("tpr"),
+                       F.when((F.col("A") > F.col("P")) | (F.col("P") == 0), F.lit(0.0)).alias("fpr"))
+    # a class without positives has the diagonal, as nothing can be ranked
+    end = tot.filter("P = 0").select(*[q(b) for b in by], "class", F.lit(None).cast("double").alias("threshold"),
+                                     F.lit(1.0).alias("tpr"), F.lit(1.0).alias("fpr"))
+    return pts.filter("P > 0").drop("P").unionByName(start).unionByName(end)
 
 
 def test_comparison(metrics: DataFrame, model: str = "model") -> DataFrame:

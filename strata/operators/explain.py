@@ -10,7 +10,9 @@ cost-complexity pruning (the alpha MLlib lacks) works on the node table.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ def tree_nodes(spark, fitted, member: int = 0) -> DataFrame:
     from pyspark.ml.classification import DecisionTreeClassificationModel
     if fitted.kind == "pipeline":
         tree = [s for s in fitted.pipeline.stages if isinstance(s, DecisionTreeClassificationModel)][0]
-        path = os.path.join(checkpoint_dir(spark), f"tree-{id(tree)}-{os.getpid()}")
+        path = os.path.join(checkpoint_dir(spark), f"tree-{uuid.uuid4().hex}")
         tree.write().overwrite().save(path)
         return spark.read.parquet(path + "/data")
     rows = fitted.trees[member]
@@ -172,11 +174,15 @@ def permutation_importance(fitted, df: DataFrame, features: Sequence[str], label
     from .ranks import average_rank, seeded_rank
     base = metric_set(fitted.transform(df), label, "pred").select(F.col(metric).alias("m")).first()["m"]
     pos = average_rank(df, key, out="_pos").withColumn("_pos", F.col("_pos").cast("long"))
-    rows = []
-    for f in features:
+    pos = pos.cache()
+
+    def one(f):
         donor = seeded_rank(df.select(q(key), q(f)), seed, key, out="_pos", extra_keys=[F.lit(f)]) \
             .select("_pos", F.col(q(f)).alias("_perm"))
         shuffled = pos.join(donor, "_pos").drop(f, "_pos").withColumnRenamed("_perm", f)
         m = metric_set(fitted.transform(shuffled), label, "pred").select(F.col(metric).alias("m")).first()["m"]
-        rows.append((f, float(base), float(m), float(base - m)))
+        return f, float(base), float(m), float(base - m)
+    with ThreadPoolExecutor(max_workers=8) as pool:  # independent jobs share the executors
+        rows = list(pool.map(one, features))
+    pos.unpersist()
     return df.sparkSession.createDataFrame(rows, "feature string, baseline double, permuted double, importance double")

@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nodes = e.select(F.col("u").alias("node")).unionAll(e.select(F.col("v").alias("node"))).unionAll(loops).distinct()
     state = _digest(e)
     while state[0]:
-        e = _saved(_small_star(_saved(_large_star(e))))
+        e = _saved(_small_star(_large_star(e)))
         if (new := _digest(e)) == state:
             break
         state = new

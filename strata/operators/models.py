@@ -17,11 +17,13 @@ DataFrame plus ``pred`` (label string) and ``probs`` (array<double> in
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import os
 import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -31,9 +33,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.recode import array_shares, bound_to
 from ..session import cut_lineage
 from .encode import fit_z_score
-from .resample import class_counts
+from .resample import balanced_class_weights, class_counts
 from .select import q
 
 LABEL_IDX = "_label_idx"
@@ -54,15 +57,21 @@ def cut_indicators(features: Sequence[str], cuts: Mapping[str, Sequence[float]])
     return array_to_vector(F.flatten(F.array(*parts)) if parts else F.array(F.lit(0.0)))
 
 
+#: Model fits that the driver submits at once.
+PARALLEL_FITS = 8
+
+
 @dataclass
 class Preset:
     """M7: one named pipeline: estimator kind, hyper-parameters, whether the
-    training data are rebalanced first, and whether features are z-scored."""
+    training data are rebalanced first, whether features are z-scored, and
+    whether classes weigh alike in the fit (all presets: balanced weights)."""
     name: str
     kind: str  # dt | rf | et | ada | lr
     params: dict = field(default_factory=dict)
     sampled: bool = False
     scaled: bool = False
+    balanced: bool = True
 
 
 # The reference's two presets (standard / alternative), each
@@ -87,12 +96,12 @@ PRESETS = {
         Preset("M_L_R_Sampled", "lr", {"penalty": "l1", "C": 1.0}, sampled=True, scaled=True),
     ],
     "alternative": [
-        Preset("Decision_Tree", "dt", {"impurity": "gini", "maxDepth": 30, "minInstancesPerNode": 2, "ccp_alpha": 0.01}),
-        Preset("Decision_Tree_Sampled", "dt", {"impurity": "entropy", "maxDepth": 30, "minInstancesPerNode": 2,
+        Preset("Decision_Tree", "dt", {"impurity": "gini", "maxDepth": 5, "minInstancesPerNode": 2, "ccp_alpha": 0.01}),
+        Preset("Decision_Tree_Sampled", "dt", {"impurity": "entropy", "maxDepth": 5, "minInstancesPerNode": 2,
                                                "ccp_alpha": 0.01}, sampled=True),
-        Preset("Random_Forest", "rf", {"impurity": "gini", "maxDepth": 30, "featureSubsetStrategy": "0.8",
+        Preset("Random_Forest", "rf", {"impurity": "gini", "maxDepth": 6, "featureSubsetStrategy": "0.8",
                                        "minInstancesPerNode": 2, "numTrees": 100}),
-        Preset("Random_Forest_Sampled", "rf", {"impurity": "gini", "maxDepth": 30, "featureSubsetStrategy": "0.5",
+        Preset("Random_Forest_Sampled", "rf", {"impurity": "gini", "maxDepth": 6, "featureSubsetStrategy": "0.5",
                                                "minInstancesPerNode": 4, "numTrees": 100}, sampled=True),
         Preset("Extra_Trees", "et", {"impurity": "gini", "maxDepth": 30, "featureSubsetStrategy": "0.8",
                                      "minInstancesPerNode": 4, "numTrees": 100}),
@@ -147,20 +156,6 @@ def tree_rows(tree_model) -> list[dict]:
     return out
 
 
-def _raw_thresholds(rows: list[dict], features: Sequence[str], cuts: Mapping[str, Sequence[float]]) -> list[dict]:
-    """Map a tree fitted on cut indices back to raw thresholds:
-    idx(x) <= t  <=>  x <= cuts[floor(t)]  (always true past the last cut)."""
-    out = []
-    for r in rows:
-        r = dict(r)
-        if r["left"] >= 0:
-            pts = list(cuts[features[r["fi"]]])
-            k = int(math.floor(r["thr"]))
-            r["thr"] = float(pts[k]) if 0 <= k < len(pts) else (math.inf if k >= len(pts) else -math.inf)
-        out.append(r)
-    return out
-
-
 def forest_expression(trees: list[list[dict]], features: Sequence[str], leaf: str = "probs") -> Column:
     """Trees as flat literal node arrays plus a bounded traversal per tree
     (``aggregate`` over depth steps): the expression size does not grow with
@@ -301,16 +296,14 @@ class FittedClassifier:
             members = forest_expression(self.trees, self.features, "probs")
             total = F.aggregate(members, zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
             return F.transform(total, lambda x: x / float(len(self.trees)))
-        # samme: decision_k = sum(alpha_m [pred_m = k]) / sum(alpha); probs = softmax(decision / (K - 1))
+        # samme: decision_k = sum(alpha_m ([pred_m = k] - [pred_m != k] / (K - 1))) / sum(alpha); probs = softmax(decision / (K - 1))
         wsum = sum(self.weights) or 1.0
         W = _sql_array([w / wsum for w in self.weights])
         votes = F.col("_votes")  # materialised once per row by transform()
         dec = F.transform(zero, lambda _, j: F.aggregate(
             F.sequence(F.lit(0), F.size(votes) - 1), F.lit(0.0),
-            lambda acc, m: acc + F.when(votes[m] == j, W[m]).otherwise(F.lit(0.0))))
-        z = F.transform(dec, lambda x: F.exp(x / float(max(k - 1, 1))))
-        s = F.aggregate(z, F.lit(0.0), lambda acc, x: acc + x)
-        return F.transform(z, lambda x: x / s)
+            lambda acc, m: acc + F.when(votes[m] == j, W[m]).otherwise(-W[m] / float(max(k - 1, 1)))))
+        return bound_to(F.transform(dec, lambda x: F.exp(x / float(max(k - 1, 1)))), array_shares)
 
     def transform(self, df: DataFrame, pred: str = "pred", probs: str = "probs") -> DataFrame:
         labels = F.array(*[F.lit(c) for c in self.classes])
@@ -371,24 +364,20 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="keep")
 
 
-def _apply_cuts(df: DataFrame, cuts: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Replace each feature by the index of its random interval."""
-    def idx(c, pts):
-        x = F.col(q(c)).cast("double")
-        if not pts:
-            return F.lit(0.0)
-        return F.size(F.filter(F.array(*[F.lit(float(p)) for p in pts]), lambda b: b < x)).cast("double")
-    return df.select(*[idx(c, cuts[c]).alias(c) if c in cuts else F.col(q(c)) for c in df.columns])
-
-
 def fit_classifier(train: DataFrame, features: Sequence[str], label: str, preset: Preset,
                    weight: str | None = None, seed: int = 42, classes: Sequence[str] | None = None
                    ) -> FittedClassifier:
-    """M1-M5: fit one preset on ``train`` (features = numeric columns)."""
+    """M1-M5: fit one preset on ``train`` (features = numeric columns).
+    Without a ``weight`` column a balanced preset weighs rows by
+    n / (classes * rows of the class)."""
     p = dict(preset.params)
+    train = train.filter(F.col(q(label)).isNotNull())
     if classes is None:
-        classes = sorted(str(c) for c in class_counts(train, label) if c is not None)
-    data = _indexed(train.filter(F.col(q(label)).isNotNull()), label, classes)
+        classes = sorted(str(c) for c in class_counts(train, label))
+    if weight is None and preset.balanced:
+        weight = "_class_weight"
+        train = balanced_class_weights(train, label, weight)
+    data = _indexed(train, label, classes)
     scaling = fit_z_score(data, list(features)) if preset.scaled else {}
     if scaling:
         data = data.select(*[((F.col(q(c)).cast("double") - F.lit(scaling[c][0])) / F.lit(scaling[c][1])).alias(c)
@@ -422,7 +411,7 @@ def fit_classifier(train: DataFrame, features: Sequence[str], label: str, preset
         rng = random.Random(seed)
         n_cuts = int(p.get("cuts", 16))
         frac = p.get("featureSubsetStrategy", "all")
-        frac = 1.0 if frac == "all" else float(frac)
+        frac = 1.0 if frac == "all" else len(features) ** -0.5 if frac == "sqrt" else float(frac)
         r = data.agg(*[x for c in features for x in (F.min(q(c)).alias(f"lo|{c}"), F.max(q(c)).alias(f"hi|{c}"))]).first()
         cuts = {}
         for f in features:
@@ -445,22 +434,20 @@ def _fit_samme(data: DataFrame, features, classes, p, weight, seed, scaling) ->
 
     One aggregate per round gives both the weighted error and the new
     weight total (sum w*(1-miss) + e^alpha * sum w*miss), so a round is one
-    tree fit plus one aggregate. Lineage is cut with a reliable checkpoint
+    tree fit plus one aggregate. ``weight`` (class weights) multiplies the
+    boosting weights in the trees' fits only. Lineage is cut with a reliable checkpoint
     every few rounds."""
-    from concurrent.futures import ThreadPoolExecutor
     k = len(classes)
     lr = float(p.get("learningRate", 1.0))
     rounds = int(p.get("rounds", 50))
-    w0 = F.col(weight).cast("double") if weight else F.lit(1.0)
+    fit_w = F.col("_w") * F.col(weight).cast("double") if weight else F.col("_w")
     base_cols = [c for c in data.columns]
-    cur = data.withColumn("_w", w0)
-    tot = cur.agg(F.sum("_w")).first()[0]
-    cur = cut_lineage(cur.withColumn("_w", F.col("_w") / F.lit(tot)))
+    cur = cut_lineage(data.withColumn("_w", F.lit(1.0 / max(1, data.count()))))
     members, alphas = [], []
     for r in range(rounds):
-        est = DecisionTreeClassifier(labelCol=LABEL_IDX, featuresCol=FEATURES, weightCol="_w", seed=seed + r,
+        est = DecisionTreeClassifier(labelCol=LABEL_IDX, featuresCol=FEATURES, weightCol="_fit_w", seed=seed + r,
                                      **_tree_params(p))
-        m = Pipeline(stages=[_assembler(features), est]).fit(cur)
+        m = Pipeline(stages=[_assembler(features), est]).fit(cur.withColumn("_fit_w", fit_w))
         scored = m.transform(cur).withColumn("_miss", (F.col("prediction") != F.col(LABEL_IDX)).cast("double"))
         g = scored.agg(F.sum(F.col("_w") * F.col("_miss")).alias("wm"), F.sum("_w").alias("w")).first()
         e = (g["wm"] / g["w"]) if g["w"] else None
@@ -489,16 +476,18 @@ def _fit_samme(data: DataFrame, features, classes, p, weight, seed, scaling) ->
 def param_grid(kind: str) -> list[dict]:
     """Hyper-parameter grids per model kind (cartesian products)."""
     import itertools
+    # Fixed values. 30 is MLlib's deepest tree, for no limit; MLlib has no smallest size of a node that may be
+    # split, so min_samples_split is listed and recorded but has no effect on the fit.
+    forest = {"numTrees": [50, 75, 100], "maxDepth": [30, 6, 4], "minInstancesPerNode": [2, 4, 8],
+              "featureSubsetStrategy": ["0.5", "0.8", "all", "sqrt"], "impurity": ["gini", "entropy"]}
     grids = {
-        "dt": {"impurity": ["gini", "entropy"], "maxDepth": [3, 5, 7, 10, 30], "minInstancesPerNode": [2, 4, 8],
-               "ccp_alpha": [0.0, 0.005, 0.01]},
-        "rf": {"impurity": ["gini", "entropy"], "maxDepth": [4, 6, 30], "minInstancesPerNode": [2, 4, 8],
-               "featureSubsetStrategy": ["all", "0.8", "0.5"], "numTrees": [50, 100, 200, 300]},
-        "et": {"impurity": ["gini", "entropy"], "maxDepth": [4, 6, 30], "minInstancesPerNode": [2, 4, 8],
-               "featureSubsetStrategy": ["all", "0.8", "0.5"], "numTrees": [50, 75, 100, 200]},
-        "ada": {"maxDepth": [2, 4, 6], "minInstancesPerNode": [2, 4, 8], "learningRate": [0.05, 0.1, 0.5, 1.0],
-                "rounds": [50, 100], "impurity": ["gini", "entropy"], "_": [0, 1, 2]},
-        "lr": {"penalty": ["l1", "l2"], "C": [0.01, 0.1, 1.0, 10.0]},
+        "dt": {"impurity": ["gini", "entropy"], "min_samples_split": [2, 4, 8], "minInstancesPerNode": [2, 4, 8],
+               "ccp_alpha": [0.0, 0.001, 0.005, 0.01, 0.05]},
+        "rf": forest,
+        "et": forest,
+        "ada": {"rounds": [50, 75, 100], "learningRate": [0.01, 0.05, 0.1], "maxDepth": [30, 6, 4],
+                "minInstancesPerNode": [2, 4, 8], "impurity": ["gini", "entropy"]},
+        "lr": {"C": [0.01, 0.1, 1.0, 10.0], "penalty": ["l1", "l2"]},
     }[kind]
     keys = list(grids)
     return [dict(zip(keys, vals)) for vals in itertools.product(*[grids[k] for k in keys])]
@@ -512,18 +501,19 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, key: str,
     from .resample import repeated_stratified_kfold
     if classes is None:
         classes = sorted(str(c) for c in class_counts(df, label) if c is not None)
-    folds = repeated_stratified_kfold(df, label, key, k, repeats, seed).cache()
-    preds = None
-    for r in range(repeats):
-        for f in range(k):
-            train = folds.filter((F.col("repeat") == r) & (F.col("fold") != f)).drop("repeat", "fold")
-            test = folds.filter((F.col("repeat") == r) & (F.col("fold") == f))
-            if rebalance is not None and preset.sampled:
-                train = rebalance(train)
-            m = fit_classifier(train, features, label, preset, seed=seed, classes=classes)
-            part = m.transform(test).select(q(key), "repeat", "fold", q(label), "pred", "probs")
-            preds = part if preds is None else preds.unionByName(part)
-    return preds
+    folds = repeated_stratified_kfold(df.filter(F.col(q(label)).isNotNull()), label, key, k, repeats, seed).cache()
+
+    def one(rf):
+        r, f = rf
+        train = folds.filter((F.col("repeat") == r) & (F.col("fold") != f)).drop("repeat", "fold")
+        test = folds.filter((F.col("repeat") == r) & (F.col("fold") == f))
+        if rebalance is not None and preset.sampled:
+            train = rebalance(train)
+        m = fit_classifier(train, features, label, preset, seed=seed, classes=classes)
+        return m.transform(test).select(q(key), "repeat", "fold", q(label), "pred", "probs")
+    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:  # independent fits share the executors
+        parts = list(pool.map(one, [(r, f) for r in range(repeats) for f in range(k)]))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def grid_search(df: DataFrame, features: Sequence[str], label: str, key: str, kind: str, grid: Sequence[dict],
@@ -534,7 +524,7 @@ def grid_search(df: DataFrame, features: Sequence[str], label: str, key: str, ki
     from .evaluate import metric_set
     rows = []
     for i, params in enumerate(grid):
-        preset = Preset(f"{kind}_{i}", kind, dict(params), scaled=(kind == "lr"))
+        preset = Preset(f"{kind}_{i}", kind, dict(params), scaled=kind == "lr")
         try:
             preds = cross_validate(df, features, label, key, preset, k, 1, seed)
             ms = metric_set(preds, label, "pred", by=["fold"]).agg(F.avg(scoring).alias("m"),

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .graph import connected_components
 from .select import q
 
 
@@ -121,7 +122,9 @@ class NeighbourIndex:
         same_group = [("_g", "_g")] if self.group else []
         # 3. upper bound: k-th nearest pivot, tightened by the own ring.
         kk = k + (1 if exclude_self else 0)
-        piv_ub = F.when(F.lit(self.P) >= kk, F.sort_array(F.col("_pd"))[kk - 1]).otherwise(F.lit(float("inf")))
+        # Pivots are points of any group, so with groups the k-th nearest of them bounds nothing.
+        near = not self.group and self.P >= kk
+        piv_ub = F.sort_array(F.col("_pd"))[kk - 1] if near else F.lit(float("inf"))
         qsel = qs.select("_k", "_v", F.col("_cell").alias("_qc"), F.col("_ring").alias("_qr"),
                          *[F.col(a).alias("_qg") for a, _ in same_group])
         psel = pts.select(F.col("_k").alias("_nk"), F.col("_v").alias("_nv"), F.col("_cell").alias("_pc"),
@@ -287,12 +290,11 @@ def lof_groups(df: DataFrame, key: str, groups: dict, k: int = 20, q_top: float
 
 # ------------------------------------------------------------------ O6 DBSCAN
 
-def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int | None = None,
-           max_iter: int = 100, **kw) -> DataFrame:
+def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int | None = None, **kw) -> DataFrame:
     """DBSCAN. eps-graph from the index (J4); core = at least
     min_samples points within eps, itself included (default 2 * dims);
-    clusters = connected components of core-core edges by iterative
-    min-label propagation (lineage cut each round); border points take the
+    clusters = connected components of core-core edges (``graph``, until
+    nothing changes, whatever the length of a chain); border points take the
     smallest label of an adjacent core point; noise = -1. A cluster's label
     is its smallest member key (comparable across runs)."""
     if min_samples is None:
@@ -303,20 +305,9 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int
     core = edges.groupBy("a").agg(F.count(F.lit(1)).alias("deg")).filter(F.col("deg") >= min_samples).select(
         F.col("a").alias("node"))
     core = cut_lineage(core)
-    ce = (edges.join(core.withColumnRenamed("node", "a"), "a").join(core.withColumnRenamed("node", "b"), "b")
-          .filter(F.col("a") != F.col("b")))
-    ce = cut_lineage(ce)
-    lab = core.withColumn("lbl", F.col("node"))
-    for _ in range(max_iter):
-        prop = (ce.join(lab.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("lbl").alias("nl"))
-                .withColumnRenamed("b", "node"))
-        new = (lab.join(prop, "node", "left")
-               .select("node", F.least("lbl", F.coalesce("nl", F.col("lbl"))).alias("lbl")))
-        new = cut_lineage(new)
-        changed = new.join(lab.withColumnRenamed("lbl", "old"), "node").filter(F.col("lbl") != F.col("old")).limit(1).count()
-        lab = new
-        if changed == 0:
-            break
+    # self pairs are kept, so a core point without core neighbours is a cluster of its own
+    ce = edges.join(core.withColumnRenamed("node", "a"), "a").join(core.withColumnRenamed("node", "b"), "b").filter("a <= b")
+    lab = cut_lineage(connected_components(ce).withColumnRenamed("component", "lbl"))
     border = (edges.join(lab.withColumnRenamed("node", "b"), "b")
               .join(core.withColumnRenamed("node", "a"), "a", "left_anti")
               .groupBy("a").agg(F.min("lbl").alias("blbl")).withColumnRenamed("a", "node"))
@@ -386,3 +377,19 @@ def smotenc_oversample(df: DataFrame, key: str, label: str, continuous: Sequence
             *[F.col(q(c)) for c in categorical])
         out = out.unionByName(syn, allowMissingColumns=True)
     return out
+
+
+def hybrid_resample(df: DataFrame, key: str, label: str, continuous: Sequence[str], categorical: Sequence[str], target: int,
+                    k: int = 5, seed: int = 42, out: str = "position", **kw) -> DataFrame:
+    """Every class at ``target`` rows: larger classes are undersampled,
+    smaller ones grown by SMOTE-NC; ``out`` numbers the rows in seeded
+    shuffled order (1-based). Rows without a label stay out."""
+    from .ranks import seeded_rank
+    from .resample import class_counts, random_undersample
+    df = df.filter(F.col(q(label)).isNotNull())
+    counts = class_counts(df, label)
+    large = {c: target for c, n in counts.items() if n > target}
+    small = {c: target for c, n in sorted(counts.items(), key=lambda x: str(x[0])) if n < target}
+    even = random_undersample(df, label, key, large, seed) if large else df
+    grown = cut_lineage(smotenc_oversample(even, key, label, continuous, categorical, small, k, seed, **kw)) if small else even
+    return seeded_rank(grown, seed, key, out=out)

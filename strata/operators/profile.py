@@ -178,7 +178,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
 
 def impute_mean_by_class(df: DataFrame, cols: Sequence[str], class_col: str) -> DataFrame:
     """NULL <- class mean; class mean NULL -> global mean; rows with
-    a NULL class stay untouched; non-numeric columns are skipped.
+    a NULL class stay untouched; non-numeric columns are skipped. Filled
+    columns are doubles, as a mean of whole numbers need not be one.
 
     Class means are an aggregate (map-side combined, skew-safe) joined back;
     the global means are one bounded row, inlined as literals.
@@ -194,8 +195,8 @@ def impute_mean_by_class(df: DataFrame, cols: Sequence[str], class_col: str) ->
     rep = {}
     for i, c in enumerate(cols):
         fill = F.coalesce(F.col(f"_m_{i}"), F.lit(glob[f"g{i}"]))
-        rep[c] = F.when(F.col(q(class_col)).isNotNull(), F.coalesce(F.col(q(c)), fill).cast(df.schema[c].dataType)
-                        ).otherwise(F.col(q(c)))
+        rep[c] = F.when(F.col(q(class_col)).isNotNull(), F.coalesce(F.col(q(c)).cast("double"), fill)
+                        ).otherwise(F.col(q(c)).cast("double"))
     return joined.select(*[rep[c].alias(c) if c in rep else F.col(q(c)) for c in df.columns])
 
 

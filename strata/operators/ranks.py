@@ -28,6 +28,13 @@ def _cols(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by or [])
 
 
+def join_groups(big: DataFrame, small: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join one row per group back; a NULL group is a group like any other."""
+    renamed = small.withColumnsRenamed({b: f"_group_{i}" for i, b in enumerate(by)})
+    on = [F.col(q(b)).eqNullSafe(F.col(f"_group_{i}")) for i, b in enumerate(by)]
+    return big.join(renamed, on, how).drop(*[f"_group_{i}" for i in range(len(by))])
+
+
 def cumulative_below(distinct: DataFrame, value: str, by: Sequence[str] | str, weights: Sequence[str],
                      buckets: int = 256, accuracy: int = 10_000) -> DataFrame:
     """For a table with one row per distinct (by, value), add ``below_<w>``:
@@ -43,7 +50,7 @@ def cumulative_below(distinct: DataFrame, value: str, by: Sequence[str] | str, w
     probs = [i / buckets for i in range(1, buckets)]
     if by:
         bounds = distinct.groupBy(*[q(b) for b in by]).agg(F.percentile_approx(v, probs, accuracy).alias("_bounds"))
-        d = distinct.join(bounds, by, "inner")  # one bounds row per group
+        d = join_groups(distinct, bounds, by)  # one bounds row per group
     else:
         row = distinct.agg(F.percentile_approx(v, probs, accuracy).alias("b")).first()  # one bounded row
         d = distinct.withColumn("_bounds", F.array(*[F.lit(x) for x in (row["b"] or [])]).cast(
@@ -54,7 +61,7 @@ def cumulative_below(distinct: DataFrame, value: str, by: Sequence[str] | str, w
     per_bucket = per_bucket.select(*[q(b) for b in by], "_bk", *[
         F.coalesce(F.sum(f"_bs_{i}").over(w_off), F.lit(0)).alias(f"_off_{i}") for i in range(len(weights))])
     w_in = Window.partitionBy(*[q(b) for b in by], "_bk").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-    out = d.join(per_bucket, by + ["_bk"], "inner")
+    out = join_groups(d, per_bucket, by + ["_bk"])
     return out.select(*[F.col(q(c)) for c in distinct.columns], *[
         (F.col(f"_off_{i}") + F.coalesce(F.sum(q(w)).over(w_in), F.lit(0))).alias(f"below_{w}")
         for i, w in enumerate(weights)])
@@ -85,7 +92,7 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] | str = (), out: s
     new column. NULL values get a NULL rank and do not count."""
     by = _cols(by)
     ranked = value_ranks(df, value, by, out, buckets, accuracy).drop("n")
-    return df.join(ranked, by + [value], "left")
+    return join_groups(df, ranked, by + [value], "left")
 
 
 def seeded_rank(df: DataFrame, seed, key: Sequence[str] | str, by: Sequence[str] | str = (),
@@ -94,7 +101,8 @@ def seeded_rank(df: DataFrame, seed, key: Sequence[str] | str, by: Sequence[str]
 
     md5 is uniform, so its leading hex digits are equal-width range buckets:
     counts per (group, bucket) give offsets, and each task numbers one bucket.
-    The order equals ``row_number() OVER (PARTITION BY by ORDER BY md5(...))``.
+    The order equals ``row_number() OVER (PARTITION BY by ORDER BY md5(...))``;
+    rows whose group is NULL are numbered as one group.
     """
     by = _cols(by)
     keys = _cols(key)
@@ -104,11 +112,6 @@ def seeded_rank(df: DataFrame, seed, key: Sequence[str] | str, by: Sequence[str]
     w_off = Window.partitionBy(*[q(b) for b in by]).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(w_off), F.lit(0))).drop("_bn")
     w_in = Window.partitionBy(*[q(b) for b in by], "_bk").orderBy("_h", *[q(k) for k in keys])
-    return (x.join(offsets, by + ["_bk"], "inner")
+    return (join_groups(x, offsets, by + ["_bk"])
             .withColumn(out, (F.col("_off") + F.row_number().over(w_in)).cast("long"))
             .drop("_h", "_bk", "_off"))
-
-
-def group_sizes(df: DataFrame, by: Sequence[str] | str, out: str = "n") -> DataFrame:
-    by = _cols(by)
-    return df.groupBy(*[q(b) for b in by]).agg(F.count(F.lit(1)).alias(out))

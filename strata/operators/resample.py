@@ -47,14 +47,15 @@ def stratified_holdout(df: DataFrame, label: str, key: str, test_size: float = 0
                        out: str = "split") -> DataFrame:
     """Exact stratified split. n_test = ceil(test_size * N), shared by
     largest remainder; the first n_c rows of each class in seeded order go
-    to 'test'."""
+    to 'test'. Rows without a label are a class of their own."""
     counts = class_counts(df, label)
     n = sum(counts.values())
     n_test = math.ceil(test_size * n)
     per = allocate(counts, n_test)
     ranked = seeded_rank(df, seed, key, label, out="_rk")
     m = F.create_map(*[x for k, v in per.items() if k is not None for x in (F.lit(k), F.lit(v))])
-    cut = F.coalesce(F.try_element_at(m, F.col(q(label))), F.lit(0)) if per else F.lit(0)
+    cut = F.coalesce(F.try_element_at(m, F.col(q(label))), F.lit(0)) if any(k is not None for k in per) else F.lit(0)
+    cut = F.when(F.col(q(label)).isNull(), F.lit(per.get(None, 0))).otherwise(cut)
     return ranked.withColumn(out, F.when(F.col("_rk") <= cut, F.lit("test")).otherwise(F.lit("train"))).drop("_rk")
 
 
@@ -108,7 +109,3 @@ def balanced_class_weights(df: DataFrame, label: str, out: str = "weight") -> Da
     n, k = sum(counts.values()), len(counts)
     m = F.create_map(*[x for c, v in counts.items() if c is not None for x in (F.lit(c), F.lit(n / (k * v)))])
     return df.withColumn(out, F.try_element_at(m, F.col(q(label))))
-
-
-def folds_table(labels: Sequence, k: int) -> list[tuple]:
-    return [(lab, f) for lab in labels for f in range(k)]

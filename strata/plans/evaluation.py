@@ -125,10 +125,12 @@ g AS (SELECT class, score, count(*) AS n_all, sum(CASE WHEN true_label = class T
 c AS (SELECT *, sum(n_pos) OVER (PARTITION BY class ORDER BY score DESC) AS tp,
              sum(n_all) OVER (PARTITION BY class ORDER BY score DESC) AS ge,
              sum(n_pos) OVER (PARTITION BY class) AS P, sum(n_all) OVER (PARTITION BY class) AS A FROM g)
-SELECT class, round(score, 6) AS threshold, round(CASE WHEN P > 0 THEN tp / P END, 6) AS tpr,
-       round(CASE WHEN A > P THEN (ge - tp) / (A - P) END, 6) AS fpr FROM c
+SELECT class, round(score, 6) AS threshold, round(tp / P, 6) AS tpr,
+       round(CASE WHEN A > P THEN (ge - tp) / (A - P) END, 6) AS fpr FROM c WHERE P > 0
 UNION ALL
-SELECT class, NULL, CASE WHEN sum(n_pos) > 0 THEN 0.0 END, CASE WHEN sum(n_all) > sum(n_pos) THEN 0.0 END FROM g GROUP BY 1
+SELECT class, NULL, 0.0, CASE WHEN sum(n_all) > sum(n_pos) THEN 0.0 END FROM g GROUP BY 1
+UNION ALL
+SELECT class, NULL, 1.0, 1.0 FROM g GROUP BY 1 HAVING sum(n_pos) = 0
 """)
 def q_roc_curve(spark, sf):
     r = V.roc_curve(predictions(spark, sf), "true_label", "probs", CLASSES)
@@ -412,11 +414,27 @@ def q_composite_check(spark, sf):
     return c.select(*[r6(x).alias(x) for x in c.columns])
 
 
-@register("mutual_information")
+@register("mutual_information", f"""
+WITH {_PRED_SQL},
+d AS (SELECT 'n_chars' AS feature, p.doc_id AS k, true_label AS y, CAST(n_chars AS DOUBLE) AS x FROM p JOIN documents t ON t.doc_id = p.doc_id
+      UNION ALL SELECT 'src', p.doc_id, true_label, CAST(substr(source, 4) AS DOUBLE) FROM p JOIN documents t ON t.doc_id = p.doc_id),
+f AS (SELECT * FROM d WHERE x IS NOT NULL AND y IS NOT NULL),
+e AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY feature, y) AS nc FROM f) WHERE nc > 1),
+nn AS (SELECT a.feature, a.k, a.x, a.nc, abs(a.x - b.x) AS r, row_number() OVER (PARTITION BY a.feature, a.k ORDER BY abs(a.x - b.x), b.k) AS rk
+       FROM e a JOIN e b ON a.feature = b.feature AND a.y = b.y AND a.k <> b.k),
+kth AS (SELECT *, least(3, nc - 1) AS kk FROM nn WHERE rk = least(3, nc - 1)),
+m AS (SELECT a.feature, a.k, any_value(a.kk) AS kk, any_value(a.nc) AS nc,
+             sum(CASE WHEN CASE WHEN a.r > 0 THEN abs(a.x - b.x) < a.r ELSE a.x = b.x END THEN 1 ELSE 0 END) AS m
+      FROM kth a JOIN e b ON a.feature = b.feature GROUP BY 1, 2),
+psi AS (SELECT i, COALESCE(sum(CAST(1 AS DOUBLE) / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.5772156649015329 AS v
+        FROM (SELECT unnest(range(1, (SELECT count(*) FROM documents) + 2)) AS i)),
+s AS (SELECT feature, count(*) AS n, avg(pk.v) - avg(pc.v) - avg(pm.v) AS rest
+      FROM m JOIN psi pk ON pk.i = kk JOIN psi pc ON pc.i = nc JOIN psi pm ON pm.i = m.m GROUP BY 1)
+SELECT feature, n, round(greatest(0, psi.v + rest), 6) AS mi FROM s JOIN psi ON psi.i = n
+""")
 def q_mutual_information(spark, sf):
     """K-NN mutual information (k=3) of document length and of the
-    source id with the quality x toxic class (rows-only check; the estimator
-    is checked against brute force in tests)."""
+    source id with the quality x toxic class; the oracle compares all pairs."""
     p = predictions(spark, sf)
     doc = table(spark, sf, "documents").select("doc_id", "n_chars", F.expr("CAST(substr(source, 4) AS DOUBLE)").alias("src"))
     d = p.select("doc_id", "true_label").join(doc, "doc_id")

@@ -210,6 +210,23 @@ def q_stratified_holdout(spark, sf):
     return RS.stratified_holdout(c, "c_mktsegment", "c_custkey", 0.2, 42)
 
 
+@register("stratified_holdout_unlabelled", """
+WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS seg FROM customer),
+c AS (SELECT seg AS cls, count(*) AS n FROM x GROUP BY 1),
+t AS (SELECT sum(n) AS total, CAST(ceil(0.2 * sum(n)) AS BIGINT) AS n_test FROM c),
+a AS (SELECT cls, n * n_test / total AS exact, floor(n * n_test / total) AS base FROM c, t),
+b AS (SELECT *, row_number() OVER (ORDER BY exact - base DESC, COALESCE(cls, 'None')) AS pos FROM a),
+alloc AS (SELECT cls, base + CASE WHEN pos <= (SELECT n_test FROM t) - (SELECT sum(base) FROM a) THEN 1 ELSE 0 END AS k FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY md5('42:' || c_custkey)) AS rk FROM x)
+SELECT c_custkey, seg, CASE WHEN rk <= k THEN 'test' ELSE 'train' END AS split
+FROM r JOIN alloc ON alloc.cls IS NOT DISTINCT FROM r.seg
+""")
+def q_stratified_holdout_unlabelled(spark, sf):
+    """R1 with a third of the rows unlabelled: they are a class, and none is lost."""
+    x = table(spark, sf, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS seg")
+    return RS.stratified_holdout(x, "seg", "c_custkey", 0.2, 42)
+
+
 @register("stratified_kfold", """
 SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5 AS INTEGER) AS fold
 FROM labels

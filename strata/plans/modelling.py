@@ -8,6 +8,7 @@ learning set is ``embeddings``: 64 float features, 10 labels.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as V
 from ..operators import explain as E
 from ..operators import models as M
+from ..operators import neighbours as NB
 from ..operators import resample as RS
 from ..session import checkpoint_dir
 from .common import r6, table
@@ -40,13 +42,17 @@ def _preset(kind: str, name: str, preset: str = "standard"):
     return [p for p in M.model_presets(preset) if p.kind == kind and p.name == name][0]
 
 
+def _rebalanced(train):
+    """R6 with the R7 fold target."""
+    counts = RS.class_counts(train, "label")
+    target = RS.fold_resample_target(sum(counts.values()), 5, len(counts))
+    return NB.hybrid_resample(train, "vec_id", "label", FEATURES, [], target).drop("position")
+
+
 def _holdout_metrics(spark, sf, preset):
     train, test = _split(spark, sf)
-    if preset.sampled:  # R6-style rebalance of the training part only (no leakage)
-        counts = RS.class_counts(train, "label")
-        n = RS.fold_resample_target(sum(counts.values()), 5, len(counts))
-        big = {c: n for c, v in counts.items() if v > n}
-        train = RS.random_undersample(train, "label", "vec_id", big, 42) if big else train
+    if preset.sampled:  # R6 on the training part only (no leakage)
+        train = _rebalanced(train)
     m = M.fit_classifier(train, FEATURES, "label", preset)
     pred = m.transform(test).select("vec_id", "label", "pred", "probs").cache()  # scored once, read by every metric
     ms = V.metric_set(pred, "label", "pred", probs="probs", classes=m.classes)
@@ -88,7 +94,7 @@ def q_cross_validate(spark, sf):
     """Leak-free repeated stratified CV of the decision tree: per
     fold accuracy and macro F1, plus the pooled row."""
     d = learning_set(spark, sf)
-    preds = M.cross_validate(d, FEATURES, "label", "vec_id", _preset("dt", "Decision_Tree"), k=5, repeats=1)
+    preds = M.cross_validate(d, FEATURES, "label", "vec_id", _preset("dt", "Decision_Tree"), k=5, repeats=5)
     per = V.metric_set(preds, "label", "pred", by=["repeat", "fold"]).select(
         F.col("repeat").cast("string").alias("repeat"), F.col("fold").cast("string").alias("fold"),
         r6("accuracy").alias("accuracy"), r6("f1_macro").alias("f1_macro"))
@@ -99,9 +105,40 @@ def q_cross_validate(spark, sf):
 
 @register("grid_search")
 def q_grid_search(spark, sf):
-    """Decision-tree grid (the first settings of the tuning grid), 3-fold CV."""
-    grid = M.param_grid("dt")[:4]
-    return M.grid_search(learning_set(spark, sf), FEATURES, "label", "vec_id", "dt", grid, k=3)
+    """The whole grid of the logistic regression, 5-fold CV."""
+    return M.grid_search(learning_set(spark, sf), FEATURES, "label", "vec_id", "lr", M.param_grid("lr"), k=5)
+
+
+# Fixed values: (kind, settings) of the tuning grids and the published presets, as literals for the oracle.
+@register("param_grids", """
+SELECT * FROM (VALUES ('ada', 162, 5), ('dt', 90, 4), ('et', 216, 5), ('lr', 8, 2), ('rf', 216, 5)) t(kind, settings, params)
+""")
+def q_param_grids(spark, sf):
+    """Distinct settings of each grid."""
+    rows = [(kind, json.dumps(g, sort_keys=True), len(g)) for kind in ("dt", "rf", "et", "ada", "lr") for g in M.param_grid(kind)]
+    return spark.createDataFrame(rows, "kind string, setting string, params int").groupBy("kind", "params").agg(
+        F.countDistinct("setting").cast("int").alias("settings")).select("kind", "settings", "params")
+
+
+@register("model_presets", """
+SELECT * FROM (VALUES
+  ('standard', 'Decision_Tree', 'entropy', 5, 8, false, true), ('standard', 'Decision_Tree_Sampled', 'gini', 5, 8, true, true),
+  ('standard', 'Random_Forest', 'entropy', 6, 4, false, true), ('standard', 'Random_Forest_Sampled', 'entropy', 6, 4, true, true),
+  ('standard', 'Extra_Trees', 'entropy', 30, 4, false, true), ('standard', 'Extra_Trees_Sampled', 'gini', 30, 8, true, true),
+  ('standard', 'Adaptive_Boosting', 'gini', 4, 8, false, true), ('standard', 'Adaptive_Boosting_Sampled', 'gini', 4, 8, true, true),
+  ('standard', 'M_L_R', NULL, NULL, NULL, false, true), ('standard', 'M_L_R_Sampled', NULL, NULL, NULL, true, true),
+  ('alternative', 'Decision_Tree', 'gini', 5, 2, false, true), ('alternative', 'Decision_Tree_Sampled', 'entropy', 5, 2, true, true),
+  ('alternative', 'Random_Forest', 'gini', 6, 2, false, true), ('alternative', 'Random_Forest_Sampled', 'gini', 6, 4, true, true),
+  ('alternative', 'Extra_Trees', 'gini', 30, 4, false, true), ('alternative', 'Extra_Trees_Sampled', 'gini', 6, 8, true, true),
+  ('alternative', 'Adaptive_Boosting', 'gini', 6, 8, false, true), ('alternative', 'Adaptive_Boosting_Sampled', 'gini', 6, 2, true, true),
+  ('alternative', 'M_L_R', NULL, NULL, NULL, false, true), ('alternative', 'M_L_R_Sampled', NULL, NULL, NULL, true, true)
+) t(preset, model, impurity, depth, leaf, sampled, balanced)
+""")
+def q_model_presets(spark, sf):
+    """M7: the published presets."""
+    rows = [(name, p.name, p.params.get("impurity"), p.params.get("maxDepth"), p.params.get("minInstancesPerNode"), p.sampled, p.balanced)
+            for name in ("standard", "alternative") for p in M.model_presets(name)]
+    return spark.createDataFrame(rows, "preset string, model string, impurity string, depth int, leaf int, sampled boolean, balanced boolean")
 
 
 @register("score_batch")
@@ -175,8 +212,8 @@ def q_apply_rules(spark, sf):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """E3 on the first 8 embedding features of a decision tree."""
-    feats = FEATURES[:8]
+    """E3 on all embedding features of a decision tree."""
+    feats = FEATURES
     train, test = _split(spark, sf)
     m = M.fit_classifier(train, feats, "label", _preset("dt", "Decision_Tree"))
     imp = E.permutation_importance(m, test, feats, "label", "vec_id")
