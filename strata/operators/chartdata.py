@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import exact_quantiles
 from .select import q
 
 
@@ -88,8 +89,7 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, whis: float = 1.5)
     outlier count, optionally per group."""
     x = F.col(q(col)).cast("double")
     keys = [q(by)] if by else []
-    qs = df.filter(x.isNotNull()).groupBy(*keys).agg(
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_p"))
+    qs = exact_quantiles(df, col, [0.25, 0.5, 0.75], [by] if by else [])
     qs = qs.select(*keys, F.col("_p")[0].alias("q1"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("q3"))
     qs = (qs.withColumn("_lo", F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1")))
           .withColumn("_hi", F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))))

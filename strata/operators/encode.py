@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.recode import is_numeric_type
 from .joins import has_at_most
+from .ranks import exact_quantiles
 from .select import q, require_columns
 
 MAX_CATEGORIES = 10_000
@@ -69,12 +70,10 @@ def z_score_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list]:
-    """Exact (interpolated) percentiles per column, aggregated per column in
-    parallel: unpivot, then one group per column name."""
+    """Exact (interpolated) percentiles per column, all columns in
+    one pass over the unpivoted table."""
     long = df.select(*[F.col(q(c)).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
-    rows = long.groupBy("column").agg(
-        F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("p")).collect()  # one row per column
-    got = {r["column"]: r["p"] for r in rows}
+    got = {r["column"]: r["_p"] for r in exact_quantiles(long, "value", probs, "column").collect()}  # one row per column
     return {c: got.get(c) for c in cols}
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .encode import fit_z_score
 from .neighbours import NeighbourIndex, tie_key
+from .ranks import exact_quantiles
 from .select import q
 
 
@@ -98,7 +99,7 @@ def simple_impute(df: DataFrame, cols: Sequence[str], strategy: str | None = Non
         return df.select(*[F.coalesce(F.col(q(c)), F.lit(0)).alias(c) if c in cols else F.col(q(c)) for c in df.columns])
     if strategy == "median":
         long = df.select(*[F.col(q(c)).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-        med = {r["column"]: r["m"] for r in long.groupBy("column").agg(F.median("value").alias("m")).collect()}
+        med = {r["column"]: r["_p"][0] for r in exact_quantiles(long, "value", [0.5], "column").collect()}  # a row a column
         return df.select(*[F.coalesce(F.col(q(c)), F.lit(med.get(c))).alias(c) if c in cols else F.col(q(c))
                            for c in df.columns])
     raise ValueError(f"unknown strategy {strategy!r}")

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .graph import connected_components
+from .ranks import exact_quantiles
 from .select import q
 
 
@@ -282,7 +283,8 @@ def lof_groups(df: DataFrame, key: str, groups: dict, k: int = 20, q_top: float
     for name, vec in groups.items():
         s = lof_scores(df, key, vec, k, **kw).withColumn("group", F.lit(name))
         base = s.filter("is_outlier") if over == "flagged" else s
-        cut = base.agg(F.percentile("lof", q_top).alias("c")).first()["c"]
+        row = exact_quantiles(base, "lof", [q_top]).first()
+        cut = None if row is None else row["_p"][0]
         part = s.filter("is_outlier").filter(F.col("lof") >= F.lit(cut)) if cut is not None else s.limit(0)
         out = part if out is None else out.unionByName(part)
     return out

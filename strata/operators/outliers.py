@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import join_small
+from .ranks import exact_quantiles
 from .select import infer_columns, q
 
 
@@ -25,8 +26,7 @@ def _long(df: DataFrame, cols: Sequence[str], key: Sequence[str], group: Sequenc
 def iqr_bounds(df: DataFrame, cols: Sequence[str], factor: float = 1.5, group: Sequence[str] = ()) -> DataFrame:
     """Exact Q1/Q3 per (group..., column) and the fences."""
     long = _long(df, cols, [], group)
-    return (long.groupBy(*[q(g) for g in group], "column")
-            .agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    return (exact_quantiles(long, "value", [0.25, 0.75], [*group, "column"], "_q")
             .select(*[q(g) for g in group], "column", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
             .withColumn("lower", F.col("q1") - F.lit(factor) * (F.col("q3") - F.col("q1")))
             .withColumn("upper", F.col("q3") + F.lit(factor) * (F.col("q3") - F.col("q1"))))

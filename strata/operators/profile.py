@@ -34,15 +34,15 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, accuracy:
     cols = infer_columns(df, cols, "numeric")
     long = _long(df, cols)
     v = F.col("value")
+    stats = long.groupBy("column").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                       F.min(v).alias("min"), F.max(v).alias("max"))
     if accuracy:
-        pct = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+        pct = long.groupBy("column").agg(F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_p"))
     else:
-        pct = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (long.groupBy("column").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), pct.alias("_p"), F.max(v).alias("max"))
-        .select("column", "count", "mean", "std", "min", F.col("_p")[0].alias("p25"),
-                F.col("_p")[1].alias("p50"), F.col("_p")[2].alias("p75"), "max"))
+        from .ranks import exact_quantiles
+        pct = exact_quantiles(long, "value", [0.25, 0.5, 0.75], "column")
+    return stats.join(pct, "column", "left").select("column", "count", "mean", "std", "min", F.col("_p")[0].alias("p25"),
+                                                    F.col("_p")[1].alias("p50"), F.col("_p")[2].alias("p75"), "max")
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -125,8 +125,12 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence, normalize: boo
 
 
 def group_median(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
-    """Exact median per group over several columns."""
-    return df.groupBy(q(group)).agg(*[F.median(F.col(q(c)).cast("double")).alias(c) for c in cols])
+    """Exact median per group over several columns (NULL without values)."""
+    from .ranks import exact_quantiles, join_groups
+    long = df.select(q(group), *[F.col(q(c)).cast("double").alias(c) for c in cols]).unpivot([group], list(cols), "_column", "_value")
+    med = exact_quantiles(long, "_value", [0.5], [group, "_column"])
+    wide = med.groupBy(q(group)).agg(*[F.max(F.when(F.col("_column") == c, F.col("_p")[0])).alias(c) for c in cols])
+    return join_groups(df.select(q(group)).distinct(), wide, [group], "left")
 
 
 def visits_per_subject(df: DataFrame, subject: str) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,7 @@ holds at most one bucket.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -35,18 +36,37 @@ def join_groups(big: DataFrame, small: DataFrame, by: Sequence[str], how: str =
     return big.join(renamed, on, how).drop(*[f"_group_{i}" for i in range(len(by))])
 
 
+# Distinct values that one task numbers at once, and the most buckets a group is cut into (larger groups get larger
+# buckets).
+BUCKET_VALUES, MAX_BUCKETS = 50_000, 4_096
+
+
+def sized_buckets(distinct: DataFrame, by: Sequence[str]) -> int:
+    """Buckets for the largest group of a table with a row per distinct (by, value)."""
+    n = distinct.groupBy(*[q(b) for b in by]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    return max(1, min(MAX_BUCKETS, -(-n // BUCKET_VALUES)))
+
+
 def cumulative_below(distinct: DataFrame, value: str, by: Sequence[str] | str, weights: Sequence[str],
-                     buckets: int = 256, accuracy: int = 10_000) -> DataFrame:
+                     buckets: int | None = None, accuracy: int = 10_000) -> DataFrame:
     """For a table with one row per distinct (by, value), add ``below_<w>``:
     the sum of each weight column over strictly smaller values in the group.
 
     The order is split into range buckets at approximate quantiles of the
     distinct values; bucket totals are cumulated over buckets (a window over
     at most ``buckets`` rows per group) and rows are cumulated inside their
-    bucket, so no task ever holds a whole group.
+    bucket, so no task ever holds a whole large group. The number of buckets
+    follows the largest group's distinct values unless given.
     """
     by = _cols(by)
     v = F.col(q(value))
+    if buckets is None:
+        buckets = sized_buckets(distinct, by)
+    if buckets == 1:
+        w_all = Window.partitionBy(*[q(b) for b in by]).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+        return distinct.select(*[F.col(q(c)) for c in distinct.columns], *[
+            F.coalesce(F.sum(q(w)).over(w_all), F.lit(0)).alias(f"below_{w}") for w in weights])
+    accuracy = max(accuracy, 10 * buckets)
     probs = [i / buckets for i in range(1, buckets)]
     if by:
         bounds = distinct.groupBy(*[q(b) for b in by]).agg(F.percentile_approx(v, probs, accuracy).alias("_bounds"))
@@ -67,7 +87,7 @@ def cumulative_below(distinct: DataFrame, value: str, by: Sequence[str] | str, w
         for i, w in enumerate(weights)])
 
 
-def _rank_distinct(distinct: DataFrame, value: str, by: list[str], out: str, buckets: int,
+def _rank_distinct(distinct: DataFrame, value: str, by: list[str], out: str, buckets: int | None,
                    accuracy: int) -> DataFrame:
     """(by, value, n) with distinct (by, value) -> adds the tie-averaged rank."""
     c = cumulative_below(distinct, value, by, ["n"], buckets, accuracy)
@@ -75,7 +95,7 @@ def _rank_distinct(distinct: DataFrame, value: str, by: list[str], out: str, buc
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] | str = (), out: str = "rank",
-                buckets: int = 256, accuracy: int = 10_000, weight: str | None = None) -> DataFrame:
+                buckets: int | None = None, accuracy: int = 10_000, weight: str | None = None) -> DataFrame:
     """Distinct (by, value) table with count ``n`` and tie-averaged rank:
     what rank-sum statistics need, without going back to row level.
     ``weight`` names a count column when ``df`` is already aggregated."""
@@ -87,7 +107,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] | str = (), out: st
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] | str = (), out: str = "rank",
-                 buckets: int = 256, accuracy: int = 10_000) -> DataFrame:
+                 buckets: int | None = None, accuracy: int = 10_000) -> DataFrame:
     """1-based rank of ``value`` within ``by`` with ties averaged, as a
     new column. NULL values get a NULL rank and do not count."""
     by = _cols(by)
@@ -115,3 +135,35 @@ def seeded_rank(df: DataFrame, seed, key: Sequence[str] | str, by: Sequence[str]
     return (join_groups(x, offsets, by + ["_bk"])
             .withColumn(out, (F.col("_off") + F.row_number().over(w_in)).cast("long"))
             .drop("_h", "_bk", "_off"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] | str = (), out: str = "_p") -> DataFrame:
+    """(by..., ``out``): exact quantiles with linear interpolation per group,
+    as an array in the order of ``probs``; NULL values do not count, a group
+    without values has no row (without ``by`` the one row holds NULLs then).
+
+    Order statistics come from cumulated counts of distinct values, so the
+    state of a task is one bucket, not the values of a column. Only the rows
+    that hold a wanted position reach the last aggregate.
+    """
+    by = _cols(by)
+    v = F.col(q(value)).cast("double")
+    distinct = df.select(*[q(b) for b in by], v.alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*[q(b) for b in by], "_v").agg(
+        F.count(F.lit(1)).alias("n"))
+    total = distinct.groupBy(*[q(b) for b in by]).agg(F.sum("n").alias("_total"))
+    below = cumulative_below(distinct, "_v", by, ["n"])
+    placed = join_groups(below, total, by) if by else below.crossJoin(F.broadcast(total))  # one row
+    lo, hi, last = F.col("below_n"), F.col("below_n") + F.col("n") - 1, (F.col("_total") - 1).cast("double")
+
+    def at(position):
+        return F.max(F.when((lo <= position) & (position <= hi), F.col("_v")))
+
+    wanted = functools.reduce(lambda a, b: a | b, [(lo <= F.ceil(last * p)) & (hi >= F.floor(last * p)) for p in probs])
+    ends = placed.filter(wanted).groupBy(*[q(b) for b in by]).agg(F.max(last).alias("_last"), *[
+        x for i, p in enumerate(probs) for x in (at(F.floor(last * p)).alias(f"_lo{i}"), at(F.ceil(last * p)).alias(f"_hi{i}"))])
+
+    def between(i, p):
+        share = F.col("_last") * p - F.floor(F.col("_last") * p)
+        return F.col(f"_lo{i}") + share * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
+
+    return ends.select(*[q(b) for b in by], F.array(*[between(i, p) for i, p in enumerate(probs)]).alias(out))

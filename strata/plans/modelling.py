@@ -19,6 +19,7 @@ from ..operators import explain as E
 from ..operators import models as M
 from ..operators import neighbours as NB
 from ..operators import resample as RS
+from ..operators.ranks import exact_quantiles
 from ..session import checkpoint_dir
 from .common import r6, table
 from .registry import register
@@ -198,7 +199,8 @@ FROM customer, s
 def q_apply_rules(spark, sf):
     """E2 with a rules table derived from the data (medians as thresholds)."""
     c = table(spark, sf, "customer")
-    med = c.agg(F.percentile("c_acctbal", 0.5).alias("a"), F.percentile(F.col("c_nationkey").cast("double"), 0.5).alias("b"))
+    med = exact_quantiles(c, "c_acctbal", [0.5]).select(F.col("_p")[0].alias("a")).crossJoin(
+        exact_quantiles(c, "c_nationkey", [0.5]).select(F.col("_p")[0].alias("b")))
     rules = med.select(F.explode(F.array(
         *[F.struct(F.lit(i).alias("rule_id"), cond.alias("condition"), F.lit(lab).alias("class"))
           for i, (cond, lab) in enumerate([
