@@ -61,7 +61,11 @@ def cuts(sorted_: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, docs, prints): the distinct fingerprints of each document, packed for each batch and block."""
+    """(block, docs, prints): the distinct fingerprints of each document, packed for each batch and block.
+
+    A fingerprint that several documents of a batch have repeats for certain: those are given at once (block null),
+    and one mark of it (in place of a document) is sent on. So a fingerprint that very many documents have is one mark a batch.
+    """
     def rows(batches):
         for batch in batches:
             ids, prints = [], []
@@ -71,15 +75,26 @@ def marks(docs: DataFrame, blocks: int) -> DataFrame:
                     ids.append(np.full(len(own), doc, dtype=np.int64))
                     prints.append(own)
             ids, prints = np.concatenate(ids or [np.empty(0, np.int64)]), np.concatenate(prints or [np.empty(0, np.uint64)])
+            found, back, times = np.unique(prints, return_inverse=True, return_counts=True)
+            several = times[back] > 1
+            if several.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([ids[several].tobytes()], pa.binary()), pa.array([prints[several].tobytes()], pa.binary())], names=MARK_NAMES)
+            ids = np.concatenate([ids[~several], np.full((times > 1).sum(), MARK, dtype=np.int64)])
+            prints = np.concatenate([prints[~several], found[times > 1]])
             block = block_of(prints, blocks)
             order = np.argsort(block, kind="stable")
             ids, prints, block, at = ids[order], prints[order], block[order], cuts(block[order])
             yield pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), pa.array([ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()), pa.array([prints[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())],
-                                             names=["block", "docs", "prints"])
+                                             names=MARK_NAMES)
 
     return docs.mapInArrow(rows, "block bigint, docs binary, prints binary")
 
 
+MARK_NAMES = ["block", "docs", "prints"]
+#: Stands for a document in the mark of a fingerprint that several documents of a batch have.
+MARK = np.iinfo(np.int64).min
+
+
 def sketch(marks_: DataFrame) -> DataFrame:
     """(block, repeated): the merged count-min sketch, one bit a cell: whether its count is over one.
 
@@ -100,21 +115,28 @@ def sketch(marks_: DataFrame) -> DataFrame:
             total[np.frombuffer(at.as_buffer(), dtype="<u4")] += np.frombuffer(n.as_buffer(), dtype="u1")
         return pa.table({"block": [table["block"][0].as_py()], "repeated": pa.array([np.packbits(total > 1).tobytes()], pa.binary())})
 
-    return marks_.mapInArrow(partial, "block bigint, cells binary, counts binary").groupBy("block").applyInArrow(merge, "block bigint, repeated binary")
+    return marks_.where("block IS NOT NULL").mapInArrow(partial, "block bigint, cells binary, counts binary").groupBy("block").applyInArrow(merge, "block bigint, repeated binary")
 
 
 def estimated_repeats(marks_: DataFrame, merged: DataFrame) -> DataFrame:
     """(doc_id, prints): each document's fingerprints whose estimated count (the least over the rows) is over one."""
-    def rows(batches):
-        for batch in batches:
-            for docs, prints, bits in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                prints = np.frombuffer(prints, dtype=np.uint64)
-                at = cells(prints)
-                hit = ((np.frombuffer(bits, dtype=np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, dtype=np.int64)[hit]), pa.array(prints[hit].view(np.int64))], names=["doc_id", "print"])
-
-    found = marks_.join(merged, "block").select("docs", "prints", "repeated").mapInArrow(rows, "doc_id bigint, print bigint")
-    return found.groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
+    def unpacked(batches):
+        for b in batches:
+            for docs, prints in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, dtype=np.int64)), pa.array(np.frombuffer(prints, dtype=np.int64))], names=["doc_id", "print"])
+
+    def look_up(sent: pa.Table, block: pa.Table) -> pa.Table:
+        if not sent.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "print": pa.array([], pa.int64())})
+        docs, prints = (np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in sent[name]]) for name, kind in (("docs", np.int64), ("prints", np.uint64)))
+        bits, at = np.frombuffer(block["repeated"][0].as_buffer(), dtype=np.uint8), cells(prints)
+        hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0) & (docs != MARK)
+        return pa.table({"doc_id": docs[hit], "print": prints[hit].view(np.int64)})
+
+    kind = "doc_id bigint, print bigint"
+    found = marks_.where("block IS NOT NULL").groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(look_up, kind)
+    known = marks_.where("block IS NULL").select("docs", "prints").mapInArrow(unpacked, kind)
+    return found.unionAll(known).groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
 
 
 def runs_of(docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
