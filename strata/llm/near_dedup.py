@@ -77,11 +77,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     1. Documents with equal sets become one node, before anything else: a group of copies is one row.
     2. Half keys that only one node has go first, so texts without any relative make no table keys. The others
        make pairs of half keys. Nodes under one key are candidates of each other.
-    3. Links come in rounds. In each, every node is compared on full sets with one node of each of its keys (in
+    3. Nodes that cannot reach the similarity, as too few of their shingles are in any other set, drop out.
+    4. Links come in rounds. In each, every node is compared on full sets with one node of each of its keys (in
        the first, with one only), unless they are in one component already, and links are merged to
        components. A group of near copies soon is one component, without its pairs. When few pairs are left (or
-       a round no longer helps), all pairs of nodes of different components under a common key are compared.
-       So no candidate link that matters to components is left out, and there is no limit to a group's size.
+       a round no longer helps), the nodes outside of each cluster's largest component are compared with all
+       of it, in blocks of which only links come out. So no candidate link that matters to components is left out, and there is no limit to a group's size.
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. Rows with equal
     ids are documents of their own. A row with a null id is linked by an equal set only, never is a component's
@@ -102,55 +103,169 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """(key, node, n) for every table key that at least two nodes have."""
+    """(key, node, n, i, j) for every table key, of half keys i and j, that at least two nodes have."""
     halves = nodes.select("node", "n", "second", F.posexplode("first").alias("i", "half"))
     shared = halves.groupBy("i", "half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "half")
     pairs = halves.join(shared, ["i", "half"]).select("node", "n", "i", "half", F.posexplode("second").alias("j", "other"))
-    keyed = pairs.select(F.xxhash64("i", "half", "j", "other").alias("key"), "node", "n")
+    keyed = pairs.select(F.xxhash64("i", "half", "j", "other").alias("key"), "node", "n", F.col("i").cast("tinyint").alias("i"), F.col("j").cast("tinyint").alias("j"))
     common = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key")
     return keyed.join(common, "key")
 
 
-def close_in_size(x: str, y: str, percent: int) -> Column:
-    """Sets whose sizes alone rule a link out need no comparison."""
-    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-
-
 def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(node, component) of all nodes that have a link."""
     spark = docs.sparkSession
     sets = full_sets(docs, nodes, members)
+    open_ = written(possible(members, sets, percent), "possible")
     done = spark.createDataFrame([], "a bigint, b bigint, similar boolean")
     labels, left, turn = spark.createDataFrame([], "node bigint, component bigint"), None, 0
     while True:
-        placed = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        placed = open_.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        final = False
         if turn:
             # Only keys whose nodes are not of one component yet; how many pairs they hold, from counts.
-            open_ = written(placed.join(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "key"), "open")
+            mixed_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+            open_ = placed = written(placed.join(mixed_, "key"), "open")
             in_key = open_.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-            before, left = left, in_key.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p")).first()["p"]
-            if not left:
+            before, left = left, in_key.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"), F.count(F.lit(1)).alias("keys")).first()
+            if not left["p"]:
                 return labels
-            final = left <= 2_000_000 or (before is not None and left > 0.7 * before)
-        else:
-            open_, final = placed, False
+            final = left["p"] <= 4 * left["keys"] or (before is not None and left["p"] > 0.7 * before["p"])
         if final:
-            x, y = (open_.select("key", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"c_{s}")) for s in "ab")
-            pairs = x.join(y, "key").where("a < b AND c_a != c_b")
-        else:
-            star = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("s"))
-            pairs = open_.join(star, "key").where("component != s.component").select(F.least("node", "s.node").alias("a"), F.greatest("node", "s.node").alias("b"), F.col("n").alias("n_a"), F.col("s.n").alias("n_b"))
-        pairs = pairs.where(close_in_size("n_a", "n_b", percent)).select("a", "b").distinct()
+            return written(connected_components(done.where("similar").select("a", "b").unionAll(rest_linked(placed, sets, percent))), "labels")
+        star = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "c", "component"), F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("a"))
+        both = placed.select("key", F.struct("node", "n", "c", "component").alias("b")).join(star, "key").where((F.col("a.component") != F.col("b.component")) & within(percent))
+        pairs = both.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         if not turn:
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         fresh = compared(pairs.join(done, ["a", "b"], "left_anti"), sets, percent)
         done = written(done.unionAll(fresh), "compared")
         labels = written(connected_components(done.where("similar")), "labels")
-        if final:
-            return labels
         turn += 1
 
 
+#: Nodes of one side that one task compares with nodes of the other.
+QUERY_BLOCK, TARGET_BLOCK = 512, 4096
+
+
+def rest_linked(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all links between nodes of different components, of what the rounds have left.
+
+    Nodes that keys connect make a cluster (small ones share a bin). In each, all nodes but those of its largest
+    component are compared with all its nodes, block against block, on full sets; only links leave a task.
+    """
+    star = placed.groupBy("key").agg(F.min("node").alias("a"))
+    edges = placed.select("key", F.col("node").alias("b")).join(star, "key").select("a", "b").distinct()
+    cluster = connected_components(edges).withColumnRenamed("component", "cluster")
+    nodes = written(placed.select("node", "n", "c", "component").distinct().join(cluster, "node"), "rest")
+    size = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    bins = max(1, nodes.count() // QUERY_BLOCK)
+    nodes = nodes.join(size, "cluster").withColumn("bin", F.when(F.col("size") > QUERY_BLOCK, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(bins))))
+    parts = nodes.groupBy("bin", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("bin").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    parts = parts.select("bin", "largest", F.ceil((F.col("all") - F.col("most")) / QUERY_BLOCK).cast("int").alias("qs"), F.ceil(F.col("all") / TARGET_BLOCK).cast("int").alias("ts")).where("qs > 0")
+    nodes = nodes.join(parts, "bin").join(sets, "node")
+    row = ["bin", "q", "t", "node", "n", "c", "component", "shingles"]
+    block = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    queries = nodes.where("component != largest").withColumn("q", block("qs", 1)).withColumn("t", all_of("ts")).select(row)
+    targets = nodes.withColumn("t", block("ts", 2)).withColumn("q", all_of("qs")).select(row).toDF(*[f"{c}_" for c in row]).toDF(*row)
+    keys = ["bin", "q", "t"]
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = ([], [])
+        if x.num_rows and y.num_rows:
+            (u, n_u, c_u, k_u), (v, n_v, c_v, k_v) = ([t[c].to_numpy() for c in ("node", "n", "c", "component")] for t in (x, y))
+            flat, owner = x["shingles"].combine_chunks().flatten().to_numpy(), np.repeat(np.arange(len(u)), n_u)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i, shingles in enumerate(y["shingles"]):
+                most = np.minimum(c_u, c_v[i])
+                if ((k_u != k_v[i]) & (most * 100 >= (n_u + n_v[i] - most) * percent)).any():
+                    own = shingles.values.to_numpy()
+                    lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                    # Places lo..hi of each of the target's shingles, by the ups and downs at their ends.
+                    steps = np.bincount(lo, minlength=len(flat) + 1) - np.bincount(hi, minlength=len(flat) + 1)
+                    both = np.bincount(owner, weights=np.cumsum(steps[:-1]), minlength=len(u)).astype(np.int64)
+                    hit = np.flatnonzero((k_u != k_v[i]) & (both * 100 >= (n_u + n_v[i] - both) * percent))
+                    out[0].append(np.minimum(u[hit], v[i]))
+                    out[1].append(np.maximum(u[hit], v[i]))
+        return pa.table({name: np.concatenate([np.empty(0, np.int64), *o]).astype(np.int64) for name, o in zip("ab", out)})
+
+    return queries.groupBy(keys).cogroup(targets.groupBy(keys)).applyInArrow(compare, "a bigint, b bigint")
+
+
+def within(percent: int) -> Column:
+    """Whether the sizes of ``a`` and ``b``, and how many of their shingles other sets have, leave room for a link."""
+    most = F.least("a.c", "b.c", "a.n", "b.n")
+    return most * 100 >= (F.col("a.n") + F.col("b.n") - most) * percent
+
+
+def possible(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``members`` (with c) without nodes that sizes alone show to have no link, and without keys left to one node.
+
+    A set of n shingles, c of which other sets have too, meets another of m shingles in at most c of them, so
+    their similarity is at most c / (n + m - c), for the smallest m under its keys. That takes out the strays
+    of a group of near copies (each has shingles of its own) and texts that share a passage only.
+    """
+    least = members.groupBy("key").agg(F.min("n").alias("m"))
+    sizes = members.join(least, "key").groupBy("node").agg(F.max("n").alias("n"), F.min("m").alias("m"))
+    bound = F.greatest("m", "c", F.ceil(F.col("n") * percent / 100))
+    kept = sizes.join(shared_shingles(sets), "node").where(F.col("c") * 100 >= (F.col("n") + bound - F.col("c")) * percent)
+    left = members.join(kept.select("node", "c"), "node")
+    common = left.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key")
+    return left.join(common, "key").select("key", "node", "n", "c", "i", "j")
+
+
+#: Shingles that one task sorts at once.
+SHARD_SHINGLES = 2_000_000
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(node, c): how many of a set's shingles are in another set too.
+
+    A batch knows that of shingles which it has twice; it sends on one mark for each of those, and its
+    other shingles, to the shard of their hash. So a shingle that very many sets have is one row a batch.
+    """
+    total = sets.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
+    shards = np.uint64(max(1, -(-total // SHARD_SHINGLES)))
+
+    def batches_(batches):
+        for b in batches:
+            each = np.diff(b.column(1).offsets.to_numpy())
+            if not each.sum():
+                continue
+            nodes, hashes = np.repeat(b.column(0).to_numpy(), each), b.column(1).flatten().to_numpy().view(np.uint64)
+            found, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            twice = times[back] > 1
+            own, c = np.unique(nodes[twice], return_counts=True)
+            none = pa.nulls(len(own), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(own), pa.array(c), none, none], names=SHARED)
+            hashes = np.concatenate([hashes[~twice], found[times > 1]])
+            nodes = np.concatenate([nodes[~twice], np.full((times > 1).sum(), -1, dtype=np.int64)])
+            shard = (hashes % shards).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            at = np.flatnonzero(np.diff(shard[order], prepend=-1, append=int(shards)))
+            parts = [order[i:j] for i, j in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()),
+                                              pa.array([nodes[p].tobytes() for p in parts], pa.binary()), pa.array([hashes[p].tobytes() for p in parts], pa.binary())], names=SHARED)
+
+    def group(table: pa.Table) -> pa.Table:
+        nodes, hashes = (np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in table[name]]) for name, kind in (("nodes", np.int64), ("hashes", np.uint64)))
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order][1:] == hashes[order][:-1]
+        also = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        own, c = np.unique(nodes[order][also], return_counts=True)
+        return pa.table({"node": own[own >= 0], "c": c[own >= 0]})
+
+    sent = sets.select("node", "shingles").mapInArrow(batches_, "shard bigint, node bigint, c bigint, nodes binary, hashes binary")
+    sent = written(sent, "shingles")
+    of_shards = sent.where("shard IS NOT NULL").select("shard", "nodes", "hashes").groupBy("shard").applyInArrow(group, "node bigint, c bigint")
+    return sent.where("shard IS NULL").select("node", "c").unionAll(of_shards).groupBy("node").agg(F.sum("c").alias("c"))
+
+
+SHARED = ["shard", "node", "c", "nodes", "hashes"]
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes that have candidates, from whole texts again."""
     def rows(batches):
