@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, near_dedup, nearest, packing, quality, substring_dedup, token_counts, token_output, url_filter
+from .oracles import ORACLE  # noqa: F401  (read by the entry)
 from .shared import documents, shared_path
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
 
 
 def register(fn):
