@@ -14,6 +14,21 @@ OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u
 #: A code that no valid text holds, put before each border so that splitting keeps the space.
 MARK = "\udc00"
 
+#: Latin letters, which the library's normalisation leaves alone but for lower case.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: A chunk of one Latin word; a chunk that ends in a Latin letter and ASCII marks.
+_WORD, _MARKED = re.compile(f"[ \n]?[{_LETTERS}]+"), re.compile(f"(.*[{_LETTERS}])([!-/:-@\\[-`{{-~]+)", re.DOTALL)
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_SYMBOLS = dict(enumerate(byte_symbols()))
+
 
 class ChunkEncoder(dict):
     """Ids of ``tokenizers.Tokenizer.from_file(path)`` without added special tokens, as little-endian
@@ -28,33 +43,42 @@ class ChunkEncoder(dict):
       line feed between other characters is a border. In texts with other white space, chunks are joined
       with their neighbours up to such a border before they are encoded.
 
-    A new chunk that ends in a Latin letter and one mark is encoded as the chunk without the mark, which
-    is often known, and the mark: both rules always split between a letter and a mark.
+    A new chunk that ends in a Latin letter and ASCII marks is encoded as the chunk without the marks, which
+    is often known, and the marks: both rules always split between a letter and a mark after it, but for
+    an apostrophe before further letters and for special strings.
     Other tokenizers get whole texts. Special strings inside texts are handled by the library, as its
     default has it (they hold no space, so a chunk has them whole).
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.limit, self.style, self.older = Tokenizer.from_file(path), limit, style_of(path), {}
+        self.model, self.special = self.tokenizer.model, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.style == "whole":
             return self._library(texts)
         split = [self._chunks(t) for t in texts]
-        missing = set().union(*split)
+        missing = set().union(*split).difference(self)
         long = [c for c in missing if len(c) > KEPT_CHARS]
-        missing.difference_update(self)
-        stems = {c: c[:-1] for c in missing if len(c) > 2 and c[-1] in ".,;:!?" and c[-2] < "\u0250" and c[-2].lower().isalpha()}
-        needed = (missing - stems.keys()).union(stems.values(), (c[-1] for c in stems)).difference(self)
+        stems = {c: m.groups() for c in missing if (m := _MARKED.fullmatch(c)) and not any(t in c for t in self.special)}
+        needed = (missing - stems.keys()).union(*stems.values()).difference(self)
         self.update((c, self.older[c]) for c in needed & self.older.keys())
         new = [c for c in needed if c not in self]
+        word, tokenize = _WORD.fullmatch, self.model.tokenize
+        others = []
+        for c in new:
+            if word(c):
+                self[c] = array("I", [t.id for p in self._pieces(c) for t in tokenize(p)]).tobytes()
+            else:
+                others.append(c)
+        new = others
         for at in range(0, len(new), 20_000):
             self.update(zip(new[at:at + 20_000], self._library(new[at:at + 20_000])))
-        self.update((c, self[stem] + self[c[-1]]) for c, stem in stems.items())
+        self.update((c, self[stem] + self[marks]) for c, (stem, marks) in stems.items())
         out = [b"".join(map(self.__getitem__, chunks)) for chunks in split]
         for c in long:
             del self[c]
@@ -66,6 +90,15 @@ class ChunkEncoder(dict):
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, chunk: str) -> tuple[str, ...]:
+        """A chunk of one Latin word as pieces of the rule, in the model's symbols."""
+        head, letters = (chunk[0], chunk[1:]) if chunk[0] in " \n" else ("", chunk)
+        if self.style == "drop":
+            head, letters = "", letters.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_SYMBOLS)
+        return (_SYMBOLS[10], letters) if head == "\n" else (_SYMBOLS[32] + letters if head else letters,)
+
     def _chunks(self, text: str) -> list[str]:
         if self.style == "drop" or not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or OTHER_SPACE.search(text)):
             return text.replace(" ", MARK + " ").replace("\n", MARK + "\n").split(MARK)

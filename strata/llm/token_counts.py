@@ -10,20 +10,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import MARK, OTHER_SPACE
+from .encoding import MARK, OTHER_SPACE, byte_symbols
 from .shared import Memo, slices, strings
 
 #: The byte-level splitting rule (fixed value: it decides the counts).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that byte-level vocabularies write for each byte."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
-
-
 class PairMerger:
     """Counts tokens of byte-level byte-pair vocabularies (``tokenizers`` JSON files).
 
