@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .shared import slices, strings, written
+from .shared import fits, slices, strings, written
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids array<int>, ids_crc32 bigint, part int, nth bigint"
 
@@ -44,7 +44,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int = 1024, i
         part, enc, nth = TaskContext.get().partitionId(), encoder(tokenizer), dict.fromkeys((1 << k for k in range(max_tokens.bit_length())), 0)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for b in slices(batch, 2048):
+            for b in slices(batch, 1024):
                 cols, flat = ([], [], [], [], [], []), []
                 for doc, ids in zip(b.column(0).to_pylist(), enc.encode(strings(b.column(1)))):
                     ids += end
@@ -67,7 +67,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int = 1024, i
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row for each power of two
     bases = counts.select("length", "part", (_lower(totals) + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("base"))
-    return pieces.join(bases, ["length", "part"]).select("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens",
+    return pieces.join(fits(bases, 24), ["length", "part"]).select("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens",
                                                          (F.col("base") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
 
 

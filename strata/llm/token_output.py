@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .shared import slices, strings
+from .shared import fits, slices, strings
 
 SCHEMA = "doc_id bigint, part int, first bigint, n_tokens bigint, ids array<int>"
 
@@ -32,7 +32,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_
         part, first, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for b in slices(batch, 2048):
+            for b in slices(batch, 1024):
                 ids = [x + end for x in enc.encode(strings(b.column(1)))]
                 n = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)
                 begin = first + np.concatenate([[0], np.cumsum(n)])
@@ -57,7 +57,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(SCHEMA).orc(path)
     sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = fits(sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), 16)
     return files.join(base, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 
