@@ -39,22 +39,29 @@ def sizes(bad: bytes, good: bytes, texts: list[str]) -> np.ndarray:
 
 
 def features(size: np.ndarray) -> np.ndarray:
-    """1, the size difference per compressed byte, and per byte of text. Empty texts have no difference."""
-    diff = size[:, 0] - size[:, 1]
-    return np.column_stack([np.ones(len(size)), diff / size[:, :2].sum(axis=1), diff / np.maximum(size[:, 2], 1)])
+    """1, the size difference per compressed byte and per byte of text, what the good dictionary leaves of a byte, and
+    the text's length. Empty texts have no difference."""
+    diff, plain = size[:, 0] - size[:, 1], np.maximum(size[:, 2], 1)
+    return np.column_stack([np.ones(len(size)), diff / size[:, :2].sum(axis=1), diff / plain, size[:, 1] / plain, np.log1p(size[:, 2]) / 10])
 
 
 def calibrated(size: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features(size) @ weights, -30, 30)))
 
 
-def fitted_weights(size: np.ndarray, labels: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Logistic calibration by Newton steps with a small ridge."""
-    x, w = features(size), np.zeros(3)
-    ridge = np.diag([1e-6, 1e-3, 1e-3])
+def fitted_weights(size: np.ndarray, labels: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Logistic calibration by Newton steps with a small ridge; a step that does not lower the loss is halved."""
+    x = features(size)
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-3)
+
+    def loss(w):
+        return np.logaddexp(0, np.where(labels > 0, -1, 1) * (x @ w)).sum() + (ridge * w * w).sum() / 2
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (labels - p) - ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge), x.T @ (labels - p) - ridge * w)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
@@ -71,7 +78,7 @@ def trained_dictionary(texts: list[str], size: int) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-        per_class: int = 1000, calibration: int = 4000, longest: int = 65536, dictionary_bytes: int = 112_640) -> CompressionClassifier:
+        per_class: int = 1000, calibration: int = 4000, longest: int = 65536, dictionary_bytes: int = 262_144) -> CompressionClassifier:
     """Learn from a bounded sample of labelled rows, whatever the tables' size.
 
     A hash of the id deals labelled documents to two halves. Of the one, the first ``per_class`` of each class
@@ -95,14 +102,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     sample = texts.join(F.broadcast(picked), "i").groupBy("i", "train", "y").agg(F.min("t").alias("t")).orderBy("i").collect()
     bad, good = (trained_dictionary([r["t"] for r in sample if r["train"] and r["y"] == y], dictionary_bytes) for y in (0, 1))
     rest = [(r["t"], r["y"]) for r in sample if not r["train"]]
-    weights = fitted_weights(sizes(bad, good, [t for t, _ in rest]), np.asarray([y for _, y in rest], dtype=float)) if rest else np.zeros(3)
+    weights = fitted_weights(sizes(bad, good, [t for t, _ in rest]), np.asarray([y for _, y in rest], dtype=float)) if rest else np.zeros(5)
     return CompressionClassifier(bad, good, tuple(float(w) for w in weights))
 
 
 def quality_scores(docs: DataFrame, model: CompressionClassifier, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= ``threshold``) of every whole text.
 
-    One pass without any shuffle; the model is under a quarter of a megabyte. A null text is scored as the
+    One pass without any shuffle; the model is half a megabyte. A null text is scored as the
     empty one; rows with equal or null ids each get their row; an empty table gives no rows. With ``carry``
     there are ``text`` and ``row`` (all other columns, whatever their names) in place of the id.
     """
