@@ -139,15 +139,15 @@ def estimated_repeats(marks_: DataFrame, merged: DataFrame) -> DataFrame:
     return found.unionAll(known).groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
 
 
-def runs_of(docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first, last) of the runs of successive windows, from (doc, window) pairs in any order."""
-    order = np.lexsort((at, docs))
-    docs, at = docs[order], at[order]
+def runs_of(docs: np.ndarray, wholes: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """doc_id, whole, first and last of the runs of successive windows of a row, from (doc, whole, window) in any order."""
+    order = np.lexsort((at, wholes[:, 1], wholes[:, 0], docs))
+    docs, wholes, at = docs[order], wholes[order], at[order]
     new = np.ones(len(docs), dtype=bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (at[1:] > at[:-1] + 1)
+    new[1:] = (docs[1:] != docs[:-1]) | (wholes[1:] != wholes[:-1]).any(axis=1) | (at[1:] > at[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(docs))[:len(first)] - 1
-    return docs[first], at[first], at[last]
+    return [pa.array(docs[first], pa.int64()), pa.array([w.tobytes() for w in wholes[first]], pa.binary()), pa.array(at[first], pa.int32()), pa.array(at[last], pa.int32())]
 
 
 def grouped(one: np.ndarray, two: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,11 +160,11 @@ def grouped(one: np.ndarray, two: np.ndarray, docs: np.ndarray) -> tuple[np.ndar
     return order, docs > least
 
 
-RUN = "doc_id bigint, first int, last int"
+RUN = "doc_id bigint, whole binary, first int, last int"
 
 
 def windows(docs: DataFrame, shards: int) -> DataFrame:
-    """Windows of (doc_id, text, prints) rows whose fingerprint is among ``prints``, packed for each batch and shard.
+    """Windows of (doc_id, whole, text, prints) rows whose fingerprint is among ``prints``, packed for each batch and shard.
 
     In each batch, an occurrence in another document than the batch's smallest is known to repeat: it is
     given as a run at once (shard null). So a window sends on one document for each batch, however many have it.
@@ -173,61 +173,66 @@ def windows(docs: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             parts = []
             for b in slices(batch):
-                for doc, text, known in zip(b.column(0).to_pylist(), strings(b.column(1)), b.column(2)):
+                for doc, whole, text, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2)), b.column(3)):
                     hashes = word_hashes(words_of(text))
                     prints = fingerprints(hashes)
                     at = np.flatnonzero(np.isin(prints, np.asarray(known.values).view(np.uint64)))
                     if len(at):
                         one, two = (mixed(rolling(hashes, WINDOW, base))[at] for base in (BASE_ONE, BASE_TWO))
-                        parts.append((np.full(len(at), doc, dtype=np.int64), at, one, (two >> np.uint64(32)).astype(np.uint32), prints[at]))
+                        parts.append((np.full(len(at), doc, dtype=np.int64), np.tile(np.frombuffer(whole, dtype="<u8"), (len(at), 1)), at, one, (two >> np.uint64(32)).astype(np.uint32), prints[at]))
             if not parts:
                 continue
-            ids, at, one, two, prints = (np.concatenate(p) for p in zip(*parts))
+            ids, wholes, at, one, two, prints = (np.concatenate(p) for p in zip(*parts))
             order, repeats = grouped(one, two, ids)
-            doc, first, last = runs_of(ids[order][repeats], at[order][repeats])
-            if len(doc):
-                none = pa.nulls(len(doc), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), pa.array(doc), pa.array(first, pa.int32()), pa.array(last, pa.int32()), none, none, none, none], names=WINDOW_NAMES)
+            known = order[repeats]
+            runs = runs_of(ids[known], wholes[known], at[known])
+            if n := len(runs[0]):
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *runs, *[pa.nulls(n, pa.binary())] * 5], names=WINDOW_NAMES)
             keep = np.sort(order[~repeats])
             shard = (mixed(prints[keep] ^ np.uint64(BASE_ONE)) % np.uint64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             keep, shard, cut = keep[by], shard[by], cuts(shard[by])
             pick = lambda values, kind: pa.array([packed(values[keep[i:j]], kind) for i, j in zip(cut[:-1], cut[1:])], pa.binary())
             n = len(cut) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pick(ids, "<i8"), pick(at, "<i4"), pick(one, "<u8"), pick(two, "<u4")], names=WINDOW_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pick(ids, "<i8"), pick(wholes, "<u8"), pick(at, "<i4"), pick(one, "<u8"), pick(two, "<u4")], names=WINDOW_NAMES)
 
-    return docs.mapInArrow(rows, f"shard bigint, {RUN}, docs binary, at binary, one binary, two binary")
+    return docs.mapInArrow(rows, f"shard bigint, {RUN}, docs binary, wholes binary, at binary, one binary, two binary")
 
 
-WINDOW_NAMES = ["shard", "doc_id", "first", "last", "docs", "at", "one", "two"]
+WINDOW_NAMES = ["shard", "doc_id", "whole", "first", "last", "docs", "wholes", "at", "one", "two"]
 
 
 def exact_repeats(found: DataFrame) -> DataFrame:
     """Runs of windows that a smaller document has too, by grouping each shard's windows exactly."""
     def group(table: pa.Table) -> pa.Table:
-        ids, at, one, two = (np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in table[name]]) for name, kind in (("docs", "<i8"), ("at", "<i4"), ("one", "<u8"), ("two", "<u4")))
+        ids, wholes, at, one, two = (np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in table[name]]) for name, kind in (("docs", "<i8"), ("wholes", "<u8"), ("at", "<i4"), ("one", "<u8"), ("two", "<u4")))
         order, repeats = grouped(one, two, ids)
-        doc, first, last = runs_of(ids[order][repeats], at[order][repeats])
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int32()), "last": pa.array(last, pa.int32())})
+        known = order[repeats]
+        return pa.Table.from_arrays(runs_of(ids[known], wholes.reshape(-1, 2)[known], at[known]), names=["doc_id", "whole", "first", "last"])
 
-    sent = found.where("shard IS NOT NULL").select("shard", "docs", "at", "one", "two")
-    return found.where("shard IS NULL").select("doc_id", "first", "last").unionAll(sent.groupBy("shard").applyInArrow(group, RUN))
+    sent = found.where("shard IS NOT NULL").select("shard", "docs", "wholes", "at", "one", "two")
+    return found.where("shard IS NULL").select("doc_id", "whole", "first", "last").unionAll(sent.groupBy("shard").applyInArrow(group, RUN))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, runs): first and last window of each run of windows of ``docs`` (doc_id, text) that start in a
-    document with a smaller id too."""
+    """(doc_id, whole, runs): first and last window of each run of windows of ``docs`` (doc_id, whole, text) that start in a
+    document with a smaller id too.
+
+    Rows of one id may have different texts, so a row is known by its id and ``whole``, a 128-bit hash of its text.
+    Fingerprints go by 63 bits of both (which never are ``MARK``): rows that share them only look up each other's too.
+    """
+    docs = docs.withColumn("key", F.shiftright(F.xxhash64("doc_id", "whole"), 1))
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     # Words have some six characters, and a text has two fingerprints for each run of windows of one fingerprint's reach.
     blocks = max(1, math.ceil(chars / 6 / (WINDOW - PART + 1) * 2 * CELLS_EACH / CELLS))
-    marked = written(marks(docs, blocks), "marks")
-    suspects = written(estimated_repeats(marked, written(sketch(marked), "sketch")), "suspects")
+    marked = written(marks(docs.select(F.col("key").alias("doc_id"), "text"), blocks), "marks")
+    suspects = written(estimated_repeats(marked, written(sketch(marked), "sketch")).withColumnRenamed("doc_id", "key"), "suspects")
     n = suspects.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("prints")).alias("prints")).first()
     prints = n["prints"] or 0
     shards = max(1, math.ceil(prints * (WINDOW - PART + 1) / 2 / SHARD_WINDOWS))
     hinted = F.broadcast(suspects) if 8 * prints + 24 * n["docs"] <= 32 << 20 else suspects
-    found = written(windows(docs.join(hinted, "doc_id").select("doc_id", "text", "prints"), shards), "windows")
-    return exact_repeats(found).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    found = written(windows(docs.join(hinted, "key").select("doc_id", "whole", "text", "prints"), shards), "windows")
+    return exact_repeats(found).groupBy("doc_id", "whole").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
 def covered(n_words: int, runs: list[dict] | None) -> np.ndarray:
@@ -253,15 +258,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. Runs of repeated windows go back to the documents, which are cut.
 
     Windows are judged on the input, not on what is left. A null text is empty. Rows with equal ids do not
-    repeat each other, and each loses what a smaller id has. A row with a null id loses nothing, and takes
+    repeat each other, whatever their texts, and each loses what a smaller id has. A row with a null id loses nothing, and takes
     nothing from others. An empty table gives no rows. With ``carry`` there is ``row`` (all columns but the text,
     whatever their names) in place of the id.
     """
-    own = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("bigint").alias("id"), *carried(docs, id_col, text_col, carry))
-    runs = written(repeated_runs(own.where("id IS NOT NULL").select(F.col("id").alias("doc_id"), "text")), "runs")
+    text = F.col(f"`{text_col}`")
+    own = docs.select(text.alias("text"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.unhex(F.md5(text)).alias("whole"), *carried(docs, id_col, text_col, carry))
+    runs = written(repeated_runs(own.where("id IS NOT NULL").select(F.col("id").alias("doc_id"), "whole", "text")), "runs")
     size = runs.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("runs")).alias("runs")).first()
-    cut = runs.select(F.col("doc_id").alias("id"), "runs")
-    if 8 * (size["runs"] or 0) + 24 * size["docs"] <= 32 << 20:
+    cut = runs.select(F.col("doc_id").alias("id"), "whole", "runs")
+    if 8 * (size["runs"] or 0) + 48 * size["docs"] <= 32 << 20:
         cut = F.broadcast(cut)
     last = own.columns[-1]
 
@@ -279,7 +285,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([b.column(2), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=[last, *RESULT])
 
     kinds = zip(RESULT, (T.LongType(), T.LongType(), T.StringType(), T.StringType()))
-    return own.join(cut, "id", "left").select("text", "runs", last).mapInArrow(rows, T.StructType([own.schema[last], *[T.StructField(n, k) for n, k in kinds]]))
+    return own.join(cut, ["id", "whole"], "left").select("text", "runs", last).mapInArrow(rows, T.StructType([own.schema[last], *[T.StructField(n, k) for n, k in kinds]]))
 
 
 RESULT = ("n_words", "n_removed", "text", "kept_sha256")

@@ -184,6 +184,16 @@ def test_substring_dedup_edge_cases(spark):
     assert substring_dedup.substring_dedup(docs.limit(0)).collect() == []
 
 
+def test_substring_dedup_of_one_id_with_several_texts(spark):
+    rng = random.Random(3)
+    passage, other = cases.words(rng, 80), cases.words(rng, 60)
+    rows = [(1, passage), (2, other), (5, cases.words(rng, 90) + " " + passage), (5, cases.words(rng, 20)), (5, cases.words(rng, 300)), (5, other + " " + cases.words(rng, 70)), (6, cases.words(rng, 9))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for parts in (1, 4):
+        got = substring_dedup.substring_dedup(docs.repartition(parts)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert cases.ordered(got) == cases.ordered(cases.substring(rows))
+
+
 def test_substring_dedup_whole_table(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     got = substring_dedup.substring_dedup(docs.repartition(7)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
