@@ -113,12 +113,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     query_id, rank (from 1), vec_id, score (Euclidean distance in double precision, on the original vectors);
     nearest first, ties to the smaller vec_id.
 
-    1. Equal vectors become one row with their k + 1 smallest ids (more can be in no result), limited before
-       the shuffle, so a vector that a third of all rows have is one row.
+    1. Equal vectors become one row with their k + 1 smallest distinct ids and how often each stands there (more can
+       be in no result), counted and limited before the shuffle, so a vector that a third of all rows have is one row.
     2. ``trees`` trees are fitted on at most ``sample`` vectors (the first by a hash), which come to the driver; every
        vector is put in a leaf of each tree. A leaf's rows are dealt to blocks of about ``block_rows``.
     3. A query takes leaves of all trees from one priority queue until ``coverage`` and ``LEAST_ROWS`` are reached. Those leaves' rows are
-       compared exactly, and each block sends on the k + 1 nearest only.
+       compared exactly, and each block sends on the nearest only that leave k whichever single id is taken out.
 
     Rows with null id, or with a vector that is null, zero or holds null or non-finite components, take no part,
     as candidates or queries; neither do vectors of another length than the most frequent. Repeated ids stay
@@ -132,27 +132,33 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
         return spark.createDataFrame([], RESULT)
     dim = lengths["d"]
     rows = rows.where(F.size("vec") == dim).withColumn("h", F.xxhash64("vec"))
-    smallest = rows.withColumn("r", F.row_number().over(Window.partitionBy("h", "vec").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    points = smallest.groupBy("h", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    counted = rows.groupBy("h", "vec", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    smallest = counted.withColumn("r", F.row_number().over(Window.partitionBy("h", "vec").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    points = smallest.groupBy("h", "vec").agg(F.sort_array(F.collect_list(F.struct("vec_id", "times"))).alias("ids"))
     points = written(points.select("h", "vec", "ids", F.monotonically_increasing_id().alias("node")), "points")
-    asked = written(rows.where(is_query).select("vec_id", "h", "vec").join(points.select("h", "vec", "node"), ["h", "vec"]).select("vec_id", "node"), "asked")
+    asked = written(rows.where(is_query).select("vec_id", "h", "vec").join(points.select("h", "vec", "node"), ["h", "vec"]).select("vec_id", "node").distinct(), "asked")
+    own = asked.groupBy("vec_id").count().agg(F.max("count").alias("n")).first()["n"] or 0  # most vectors of one query id
 
     forest = fitted(points, dim, sample, trees, leaves, seed)
-    placed = written(points.select("node", "vec").mapInArrow(_placer(forest, dim), "tree int, leaf int, node bigint, vec " + points.schema["vec"].dataType.simpleString()), "leaves")
+    only = F.when(F.size("ids") == 1, F.col("ids")[0]["vec_id"]).alias("only")
+    placed = written(points.select("node", "vec", only).mapInArrow(_placer(forest, dim), "tree int, leaf int, node bigint, only bigint, vec " + points.schema["vec"].dataType.simpleString()), "leaves")
     sizes = {(r["tree"], r["leaf"]): r["count"] for r in placed.groupBy("tree", "leaf").count().collect()}  # at most trees * 2 leaves
     total = sum(n for (t, _), n in sizes.items() if t == 0)
     blocks = max(1, -(-max(sizes.values(), default=1) // block_rows))
 
     queries = points.join(asked.select("node").distinct(), "node").select("node", "vec")
-    visited = queries.mapInArrow(_searcher(forest, sizes, total, dim, coverage, max(k + 1, LEAST_ROWS)), placed.schema).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    visited = queries.mapInArrow(_searcher(forest, sizes, total, dim, coverage, max(k + own, LEAST_ROWS)), placed.drop("only").schema).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     candidates = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
     keys = ["tree", "leaf", "block"]
     near = visited.groupBy(keys).cogroup(candidates.groupBy(keys)).applyInArrow(_comparer(dim, k), "query bigint, node bigint, score double")
 
+    # Of each id its k nearest rows, and of those the k + 1 nearest ids: whichever is the query's own, k rows are left.
     best = near.groupBy("query", "node").agg(F.min("score").alias("score"))
-    best = best.join(points.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
-    best = best.withColumn("f", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("f") <= k + 1).drop("f")
-    found = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).distinct().join(best, "query").where("query_id != vec_id")
+    best = best.join(points.select("node", "ids"), "node").select("query", "score", F.inline("ids"))
+    best = best.groupBy("query", "vec_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "times"))), 1, k).alias("rows"))
+    best = best.withColumn("f", F.row_number().over(Window.partitionBy("query").orderBy(F.col("rows")[0]["score"], "vec_id"))).where(F.col("f") <= k + 1)
+    found = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).join(best, "query").where("query_id != vec_id")
+    found = found.select("query_id", "vec_id", F.inline("rows")).select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), "times")))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -168,7 +174,7 @@ def _placer(forest: list[Tree], dim: int):
         for b in batches:
             data = matrix(b.column(1), dim)
             for t, tree in enumerate(forest):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), t, dtype=np.int32)), pa.array(tree.leaves(data).astype(np.int32)), b.column(0), b.column(1)], names=["tree", "leaf", "node", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), t, dtype=np.int32)), pa.array(tree.leaves(data).astype(np.int32)), b.column(0), b.column(2), b.column(1)], names=["tree", "leaf", "node", "only", "vec"])
     return rows
 
 
@@ -185,15 +191,41 @@ def _searcher(forest: list[Tree], sizes: dict[tuple[int, int], int], total: int,
     return rows
 
 
+def nearest_rows(score: np.ndarray, ids: np.ndarray, single: np.ndarray, k: int) -> np.ndarray:
+    """The nearest rows, with all that tie with the last, that hold ``k`` with another id whichever one id is taken out;
+    ``ids`` is for rows of a single id. More than ``k`` rows of one single id are not needed, but for ties."""
+    size = k + 1
+    while True:
+        best = np.flatnonzero(score <= np.partition(score, min(size, len(score)) - 1)[min(size, len(score)) - 1])
+        best = best[np.argsort(score[best], kind="stable")]
+        # How many rows of its own single id come up to each row.
+        alone = single[best]
+        times = np.zeros(len(best), dtype=np.int64)
+        order = np.argsort(ids[best[alone]], kind="stable")
+        ranked = ids[best[alone]][order]
+        new = np.ones(len(ranked), dtype=bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        place = np.arange(len(ranked))
+        back = np.empty(len(ranked), dtype=np.int64)
+        back[order] = place - np.maximum.accumulate(np.where(new, place, 0)) + 1
+        times[alone] = back
+        enough = np.flatnonzero(np.arange(1, len(best) + 1) - np.maximum.accumulate(times) >= k)
+        if len(enough) or size >= len(score):
+            last = score[best[enough[0]]] if len(enough) else np.inf
+            return best[(times <= k) & (score[best] <= last)]
+        size *= 4
+
+
 def _comparer(dim: int, k: int):
     def compare(queries: pa.Table, points: pa.Table) -> pa.Table:
         out = ([], [], [])
         if queries.num_rows and points.num_rows:
             nodes, data = points["node"].to_numpy(), matrix(points["vec"], dim)
+            ids, single = points["only"].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False), points["only"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
             for query, vector in zip(queries["node"].to_pylist(), matrix(queries["vec"], dim)):
                 score = np.sqrt(np.square(data - vector).sum(axis=1))
-                # k + 1 distances, and all that tie with the last: of equal ones the smallest ids are chosen later.
-                best = np.flatnonzero(score <= np.partition(score, min(k, len(score) - 1))[min(k, len(score) - 1)])
+                # All that tie with the last too: of equal ones the smallest ids are chosen later.
+                best = nearest_rows(score, ids, single, k)
                 out[0].append(np.full(len(best), query, dtype=np.int64))
                 out[1].append(nodes[best])
                 out[2].append(score[best])

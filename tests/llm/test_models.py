@@ -118,6 +118,20 @@ def test_nearest_edge_cases(spark):
     assert nearest.nearest(table.where("vec_id = 0"), F.col("vec_id") % 100 == 0).collect() == []
 
 
+@pytest.mark.parametrize("times", [2, 12])
+@pytest.mark.parametrize("step", [0.0, 0.001])
+def test_nearest_of_a_repeated_query_id(spark, times, step):
+    """The query's own row ``times`` times, with one vector or several; a candidate id that stands 3 times."""
+    rng = np.random.default_rng(2)
+    rows = [(100, [1.0 + step * i, 0.0]) for i in range(times)] + [(i, [float(x) for x in rng.normal(size=2)]) for i in range(1, 40)] + [(7, [1.0, 0.1])] * 3 + [(8, [1.0, 0.0])] * 3
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = nearest.nearest(table, F.col("vec_id") == 100, coverage=1.0, block_rows=9).orderBy("rank").collect()
+    want = sorted((float(np.hypot(v[0] - q[0], v[1] - q[1])), i) for q in {tuple(v) for i, v in rows if i == 100} for i, v in rows if i != 100)[:10]
+    assert [r["rank"] for r in got] == list(range(1, 11))
+    assert [r["vec_id"] for r in got] == [i for _, i in want]
+    assert np.allclose([r["score"] for r in got], [d for d, _ in want], atol=1e-12)
+
+
 def test_equal_vectors_are_limited_before_the_shuffle(spark):
     table = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(600)], "vec_id bigint, embedding array<double>")
     got = nearest.nearest(table, F.col("vec_id") == 300, coverage=1.0).orderBy("rank").collect()
