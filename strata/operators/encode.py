@@ -3,7 +3,8 @@
 Every operator is fit-then-apply: ``fit_*`` runs one aggregate and returns
 small, bounded statistics (a few numbers per column, or a category list
 behind a size check); ``apply_*`` is a single projection, so a fitted model
-scores batches and streams alike.
+scores batches and streams alike. Label and ordinal codes of more categories
+than that check allows are a table, which ``apply_*`` joins.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.recode import is_numeric_type
-from .joins import has_at_most
+from ..session import cut_lineage
+from .joins import has_at_most, join_small
 from .ranks import exact_quantiles
 from .select import q, require_columns
 
@@ -111,20 +113,55 @@ def _code_map(values: Sequence) -> Column:
     return F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
 
 
-def fit_label_encoder(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """N4 fit: alphabetical categories of the string form; NULL is the
-    category 'nan'. Numeric columns are refused."""
+def _code_table(values: DataFrame) -> DataFrame:
+    """(v, code): the places of the distinct ``v`` in their order, from 0, for
+    any number of them: the sorted table is cut to the checkpoint folder, and
+    the sizes of its partitions (one number each) give the offsets."""
+    d = cut_lineage(values.where("v IS NOT NULL").orderBy("v").withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    below, offsets = 0, []
+    for r in d.groupBy(part.alias("p")).count().orderBy("p").collect():
+        offsets += [F.lit(r["p"]).cast("bigint"), F.lit(below).cast("bigint")]
+        below += r["count"]
+    return d.select("v", (F.element_at(F.create_map(*offsets), part) + place).cast("int").alias("code"))
+
+
+def _codes(df: DataFrame, value: Column) -> list | DataFrame:
+    """The sorted categories, or the table of their codes where they are more than ``MAX_CATEGORIES``."""
+    d = df.select(value.alias("v")).distinct()
+    if has_at_most(d, MAX_CATEGORIES):
+        return sorted(r["v"] for r in d.collect() if r["v"] is not None)
+    return _code_table(d)
+
+
+def _with_codes(df: DataFrame, tables: Mapping[str, tuple[Column, DataFrame]], rep: dict[str, Column]) -> DataFrame:
+    """``df`` with the replacements ``rep``, and for each column of ``tables`` the code that its value has there."""
+    rep, columns = dict(rep), df.columns
+    for i, (c, (value, codes)) in enumerate(tables.items()):
+        df = join_small(df, codes.select(F.col("v").alias(f"_v_{i}"), F.col("code").alias(f"_code_{i}")), value == F.col(f"_v_{i}"))
+        rep[c] = F.col(f"_code_{i}")
+    return df.select(*[rep[c].alias(c) if c in rep else F.col(q(c)) for c in columns])
+
+
+def fit_label_encoder(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str] | DataFrame]:
+    """N4 fit: alphabetical categories of the string form (above
+    ``MAX_CATEGORIES`` a table of their codes); NULL is the category 'nan'.
+    Numeric columns are refused."""
     require_columns(df, cols)
     bad = [c for c in cols if is_numeric_type(df.schema[c].dataType)]
     if bad:
         raise TypeError(f"label encoding needs categorical columns, got numeric {bad}")
-    return {c: _categories(df, c) for c in cols}
+    return {c: _codes(df, _label_value(c)) for c in cols}
 
 
-def apply_label_encoder(df: DataFrame, fitted: Mapping[str, Sequence[str]]) -> DataFrame:
-    rep = {c: F.try_element_at(_code_map(vals), F.coalesce(F.col(q(c)).cast("string"), F.lit("nan")))
-           for c, vals in fitted.items()}
-    return df.select(*[rep[c].alias(c) if c in rep else F.col(q(c)) for c in df.columns])
+def _label_value(col: str) -> Column:
+    return F.coalesce(F.col(q(col)).cast("string"), F.lit("nan"))
+
+
+def apply_label_encoder(df: DataFrame, fitted: Mapping[str, Sequence[str] | DataFrame]) -> DataFrame:
+    tables = {c: (_label_value(c), vals) for c, vals in fitted.items() if isinstance(vals, DataFrame)}
+    rep = {c: F.try_element_at(_code_map(vals), _label_value(c)) for c, vals in fitted.items() if c not in tables}
+    return _with_codes(df, tables, rep)
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -160,15 +197,18 @@ def ordinal_encode(df: DataFrame, cols: Sequence[str], categories: Sequence[Sequ
     require_columns(df, cols)
     if categories is not None and len(categories) != len(cols):
         raise ValueError("categories must have one entry per column")
-    rep = {}
+    rep, tables = {}, {}
     for i, c in enumerate(cols):
         if mapping and c in mapping:
             m = F.create_map(*[x for k, v in mapping[c].items() for x in (F.lit(k), F.lit(v))])
             rep[c] = F.try_element_at(m, F.col(q(c)))
         else:
-            vals = list(categories[i]) if categories is not None else _categories(df, c, null_token=None)
-            rep[c] = F.try_element_at(_code_map([str(v) for v in vals]), F.col(q(c)).cast("string"))
-    return df.select(*[rep[c].alias(c) if c in rep else F.col(q(c)) for c in df.columns])
+            vals = list(categories[i]) if categories is not None else _codes(df, F.col(q(c)))
+            if isinstance(vals, DataFrame):
+                tables[c] = (F.col(q(c)), vals)
+            else:
+                rep[c] = F.try_element_at(_code_map([str(v) for v in vals]), F.col(q(c)).cast("string"))
+    return _with_codes(df, tables, rep)
 
 
 # ------------------------------------------------------------------ binning

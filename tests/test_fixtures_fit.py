@@ -44,6 +44,19 @@ def test_label_encode_fixture14(spark):
     assert [r["v"] for r in N.label_encode(df, ["v"]).orderBy("i").collect()] == [1, 0, 2, 0]
 
 
+def test_codes_of_more_categories_than_a_literal_map_takes(spark):
+    n = N.MAX_CATEGORIES + 500
+    df = spark.range(2 * n).select("id", F.when(F.col("id") > 0, F.concat(F.lit("c"), F.col("id") % n)).alias("v"), (F.col("id") % n * 3).alias("x"), F.lit("one").alias("y")).repartition(5)
+    names = sorted({f"c{i % n}" for i in range(1, 2 * n)} | {"nan"})
+    code = {v: i for i, v in enumerate(names)}
+    got = N.label_encode(df, ["v", "y"])
+    assert got.columns == df.columns
+    assert {r["id"]: (r["v"], r["x"], r["y"]) for r in got.collect()} == {i: (code[f"c{i % n}" if i else "nan"], i % n * 3, 0) for i in range(2 * n)}
+    assert {r["id"]: r["x"] for r in N.ordinal_encode(df, ["x"]).collect()} == {i: i % n for i in range(2 * n)}
+    found = {r["id"]: r["v"] for r in N.ordinal_encode(df, ["v"]).collect()}
+    assert found[0] is None and all(found[i] == code[f"c{i % n}"] for i in range(1, 2 * n))
+
+
 def test_min_max_in_unit_interval(spark):
     df = spark.range(100).select((F.col("id") * 3.7 - 50).alias("x"))
     r = N.min_max_scale(df, ["x"]).agg(F.min("x"), F.max("x")).first()
