@@ -78,6 +78,9 @@ class Items:
         out = set()
         for n, at in starts.items():
             item, words, k = self.items[n]
+            if not k:
+                out.update((item, 0, s, s + len(words)) for s in at if text[s - 1:s] in (b"", b" ") and text[s + len(words):s + len(words) + 1] in (b"", b" "))
+                continue
             at.sort()
             # Starts that are near each other may be one match; its true start is within k of each of its seeds'.
             runs = [[at[0], at[0]]]
@@ -98,6 +101,8 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = C
     """(doc_id, item_id, distance, match_start, match_end) for each place where a whole test item stands in a
     document with at most length / ``chars_per_edit`` edits; places are byte offsets in the normalised text.
 
+    An item too short for an edit stands only where its words are whole words of the document.
+
     Both sides are normalised first. Items go to the tasks in blocks of at most ``block_bytes`` (measured,
     by a running size over their ids), one pass over the documents for each block, so a large benchmark
     costs passes, not memory. Documents are not shuffled.

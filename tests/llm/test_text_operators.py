@@ -175,6 +175,14 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert decontaminate.benchmark_matches(docs, table.limit(0)).collect() == [] == decontaminate.benchmark_matches(docs.limit(0), table).collect()
 
 
+def test_decontamination_takes_short_items_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "concatenate a category, tomcat"), (2, "Cat food"), (3, "a cat, the CAT"), (4, "cat"), (5, "bobcat cat"), (6, "ñcat catñ")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(0, "cat"), (1, "t c")], "item_id bigint, text string")
+    got = decontaminate.benchmark_matches(docs, items).collect()
+    assert cases.ordered(got) == cases.ordered([(2, 0, 0, 0, 3), (3, 0, 0, 2, 5), (3, 0, 0, 10, 13), (4, 0, 0, 0, 3), (5, 0, 0, 7, 10)])
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()) == [1, 6]
+
+
 def test_substring_dedup_edge_cases(spark):
     docs = cases.documents(spark)
     got = substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
