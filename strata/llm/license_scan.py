@@ -59,6 +59,16 @@ class Notice:
                 out.append((a, b))
         return out
 
+    def matches(self, text: str) -> list:
+        """Matches that do not overlap, in order: the best one, and those of the parts before and after it."""
+        out, parts = [], [(0, len(text))]
+        while parts:
+            lo, hi = parts.pop()
+            if m := self.pattern.search(text, lo, hi):
+                out.append(m)
+                parts += [(lo, m.start()), (m.end(), hi)]
+        return sorted(out, key=lambda m: m.start())
+
     def spans(self, padded: bytes) -> list[tuple[int, int, int]]:
         """(first word, last word, edits) of each match that the bounded-error pattern confirms."""
         out = []
@@ -68,7 +78,7 @@ class Notice:
             while b < len(padded) and padded[b] & 0xC0 == 0x80:
                 b += 1
             text = padded[a:b].decode()
-            for m in self.pattern.finditer(text):
+            for m in self.matches(text):
                 start, end = (a + len(text[:i].encode()) for i in m.span())
                 first = padded.count(b" ", 0, start) - 1
                 out.append((first, first + padded.count(b" ", start, end), sum(m.fuzzy_counts)))

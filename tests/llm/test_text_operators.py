@@ -147,6 +147,12 @@ def test_myers_distance_is_the_edit_distance(item, text, most):
         assert found[0] == want and cases.distance(item, text[found[1]:found[2]]) == want
 
 
+def test_license_spans_before_a_better_match():
+    notice = license_scan.Notice("apache license", "apache")
+    spans = license_scan.scan_text("apache licnse or apache license or apach license", {}, [notice])[2]
+    assert [s[2:] for s in spans] == [(0, 1, 1), (3, 4, 0), (6, 7, 1)]
+
+
 def contaminated(spark):
     rng = random.Random(9)
     items = [(0, cases.words(rng, 40)), (1, cases.words(rng, 30)), (2, None), (3, ""), (4, " .,"), (5, "short one")]
