@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, near_dedup, nearest, packing, quality, substring_dedup, token_counts, token_output, url_filter
+from . import centroids, decontaminate, license_scan, line_dedup, near_dedup, nearest, packing, periodic_runs, quality, substring_dedup, token_counts, token_output, url_filter
 from .oracles import ORACLE  # noqa: F401  (read by the entry)
 from .shared import documents, shared_path
 
@@ -71,3 +71,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+@register
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, dim=64, seed=3)
+
+
+@register
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic_runs.periodic_runs(documents(spark, sf_dir), change=periodic_runs.folded)
+    return runs.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+@register
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
