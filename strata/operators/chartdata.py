@@ -115,10 +115,21 @@ def count_data(df: DataFrame, x: str, hue: str | None = None) -> DataFrame:
 
 
 def pie_data(df: DataFrame, x: str) -> DataFrame:
-    """Counts and shares (the category table is small: a global window
-    over it is cheap)."""
+    """Counts and shares; the total is one row, joined to the categories."""
     c = count_data(df, x)
-    return c.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    return c.crossJoin(F.broadcast(total)).select(q(x), "count", (F.col("count") / F.col("_total")).alias("share"))  # one row
+
+
+def heatmap_data(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
+    """(x, y, corr) for every cell of the matrix: both triangles, and 1 on the diagonal (NULL for a column without
+    two different values)."""
+    from .profile import correlation_matrix
+    upper = correlation_matrix(df, cols, method)
+    varies = df.agg(*[(F.min(q(c)) < F.max(q(c))).alias(f"{i}") for i, c in enumerate(cols)])
+    own = varies.select(F.explode(F.array(*[F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.when(F.col(f"`{i}`"), F.lit(1.0)).alias("corr")) for i, c in enumerate(cols)])).alias("d")).select("d.*")
+    both = upper.select(F.explode(F.array(F.struct("x", "y", "corr"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "corr"))).alias("d")).select("d.*")
+    return both.unionByName(own)
 
 
 def hexbin_data(df: DataFrame, x: str, y: str, gridsize: int = 30, hexagonal: bool = True) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import seeded_hash
+from ..functions.recode import nan_to_null
+from ..session import cut_lineage
 from .joins import join_small
 from .select import infer_columns, q
 
@@ -148,16 +150,85 @@ def filtered_value_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(q(a), q(b)).agg(F.count(F.lit(1)).alias("count"))
 
 
+def column_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
+    return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+
+
+def complete_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(x, y, vx, vy, n): distinct value pairs of each pair of columns with their counts, over the rows that have both
+    (NULL and NaN are missing). One scan, whatever the number of pairs."""
+    value = {c: nan_to_null(F.col(q(c)).cast("double")) for c in cols}
+    each = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), value[a].alias("vx"), value[b].alias("vy")) for a, b in column_pairs(cols)])
+    rows = df.select(F.explode(each).alias("p")).select("p.*").filter(F.col("vx").isNotNull() & F.col("vy").isNotNull())
+    return rows.groupBy("x", "y", "vx", "vy").agg(F.count(F.lit(1)).alias("n"))
+
+
+def weighted_correlation(a: Column, b: Column, n: Column) -> Column:
+    """Pearson's correlation of rows that stand ``n`` times each; NULL if one side does not vary."""
+    total, sa, sb = F.sum(n), F.sum(n * a), F.sum(n * b)
+    va, vb = total * F.sum(n * a * a) - sa * sa, total * F.sum(n * b * b) - sb * sb
+    return F.when((va > 0) & (vb > 0), (total * F.sum(n * a * b) - sa * sb) / (F.sqrt(va) * F.sqrt(vb)))
+
+
+def spearman(pairs: DataFrame) -> DataFrame:
+    """(x, y, corr) from ``complete_pairs``: Pearson's correlation of tie-averaged ranks. Ranks are centred at the middle
+    rank, so that sums of squares keep their digits."""
+    from .ranks import join_groups, value_ranks
+    size = pairs.groupBy("x", "y").agg(((F.sum("n") + 1) / 2.0).alias("middle"))
+    rx = value_ranks(pairs, "vx", ["x", "y"], "rx", weight="n").drop("n")
+    ry = value_ranks(pairs, "vy", ["x", "y"], "ry", weight="n").drop("n")
+    ranked = join_groups(join_groups(join_groups(pairs, rx, ["x", "y", "vx"]), ry, ["x", "y", "vy"]), size, ["x", "y"])
+    a, b = F.col("rx") - F.col("middle"), F.col("ry") - F.col("middle")
+    return ranked.groupBy("x", "y").agg(weighted_correlation(a, b, F.col("n").cast("double")).alias("corr"))
+
+
+def discordant_pairs(pairs: DataFrame) -> DataFrame:
+    """(x, y, discordant): pairs of rows that the two columns order oppositely, counted without pairing rows.
+
+    Each vy becomes its dense rank; two ranks differ first at one of their binary digits, so an opposite pair shares a prefix
+    of digits, and then the row with the smaller vx has a 1 where the other has a 0. At each digit, within equal prefixes,
+    the rows with a 1 and a smaller vx are cumulated (``cumulative_below``: range buckets and their totals, so a prefix
+    that all rows share is no single task's work). There are log2(distinct values) rows for each distinct value pair.
+    """
+    from .ranks import cumulative_below, join_groups
+    ys = pairs.groupBy("x", "y", "vy").agg(F.lit(1).cast("long").alias("one"))
+    ranked = cut_lineage(join_groups(pairs, cumulative_below(ys, "vy", ["x", "y"], ["one"]).select("x", "y", "vy", F.col("below_one").cast("long").alias("code")), ["x", "y", "vy"]))
+    most = ranked.agg(F.max("code").alias("m")).first()["m"] or 0
+    digits = ranked.select("x", "y", "vx", "n", "code", F.explode(F.sequence(F.lit(0), F.lit(max(0, int(most).bit_length() - 1)))).alias("digit"))
+    bit = F.expr("shiftright(code, digit) & 1")
+    grouped = digits.groupBy("x", "y", "digit", F.expr("shiftright(code, digit + 1)").alias("prefix"), "vx").agg(
+        F.sum(F.when(bit == 1, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(bit == 0, F.col("n")).otherwise(0)).alias("zeros"))
+    # A prefix of rows with one digit only has no pair that differs here.
+    mixed = grouped.groupBy("x", "y", "digit", "prefix").agg(F.sum("ones").alias("o"), F.sum("zeros").alias("z")).filter("o > 0 AND z > 0").select("x", "y", "digit", "prefix")
+    both = cut_lineage(grouped.join(mixed, ["x", "y", "digit", "prefix"]))
+    below = cumulative_below(both, "vx", ["x", "y", "digit", "prefix"], ["ones"])
+    return below.groupBy("x", "y").agg(F.sum((F.col("zeros") * F.col("below_ones")).cast("decimal(38,0)")).alias("discordant"))
+
+
+def kendall(pairs: DataFrame) -> DataFrame:
+    """(x, y, corr) from ``complete_pairs``: Kendall's tau-b, (concordant - discordant) / sqrt((all - ties in x) * (all - ties
+    in y)), exact with ties; NULL if one side does not vary."""
+    couples = lambda n: (F.sum(n.cast("decimal(38,0)") * (n - 1)) / 2)
+    ties = None
+    for name, keys in (("tx", ["vx"]), ("ty", ["vy"]), ("txy", ["vx", "vy"]), ("all", [])):
+        own = pairs.groupBy("x", "y", *keys).agg(F.sum("n").alias("n")).groupBy("x", "y").agg(couples(F.col("n")).cast("double").alias(name))
+        ties = own if ties is None else ties.join(own, ["x", "y"])
+    counted = ties.join(discordant_pairs(pairs), ["x", "y"], "left").withColumn("d", F.coalesce(F.col("discordant").cast("double"), F.lit(0.0)))
+    concordant = F.col("all") - F.col("tx") - F.col("ty") + F.col("txy") - F.col("d")
+    scale = F.sqrt(F.col("all") - F.col("tx")) * F.sqrt(F.col("all") - F.col("ty"))
+    return counted.select("x", "y", F.when(scale > 0, (concordant - F.col("d")) / scale).alias("corr"))
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
     """Long-form (x, y, corr) for every column pair, pairwise complete.
 
-    Pearson: all pairs in one aggregate (``corr`` skips rows where either
-    side is NULL). Spearman: each pair ranked over its complete rows with the
-    bucketed average rank, then Pearson on ranks.
+    Pearson: all pairs in one aggregate (``corr`` skips rows where either side is NULL). Spearman and Kendall (tau-b) read
+    the table once for all pairs and go on with distinct value pairs and their counts; a pair without complete rows
+    has no row then.
     """
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if method == "pearson":
+        pairs = column_pairs(cols)
         row_aggs = [F.corr(F.col(q(a)).cast("double"), F.col(q(b)).cast("double")).alias(f"{i}") for i, (a, b) in
                     enumerate(pairs)]
         one = df.agg(*row_aggs)
@@ -165,19 +236,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
         names = df.sparkSession.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(pairs)],
                                                 "pair string, x string, y string")
         return stack.join(F.broadcast(names), "pair").select("x", "y", "corr")
-    if method == "spearman":
-        from .ranks import average_rank
-        pair_rows = None
-        for i, (a, b) in enumerate(pairs):
-            part = df.select(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(q(a)).cast("double").alias("vx"),
-                             F.col(q(b)).cast("double").alias("vy"),
-                             F.monotonically_increasing_id().alias("_rid"))
-            part = part.filter(F.col("vx").isNotNull() & F.col("vy").isNotNull())
-            pair_rows = part if pair_rows is None else pair_rows.unionByName(part)
-        rx = average_rank(pair_rows, "vx", ["x", "y"], "rx")
-        rxy = average_rank(rx, "vy", ["x", "y"], "ry")
-        return rxy.groupBy("x", "y").agg(F.corr("rx", "ry").alias("corr"))
-    raise ValueError(f"unsupported method {method!r}")
+    if method not in ("spearman", "kendall"):
+        raise ValueError(f"unsupported method {method!r}")
+    pairs = cut_lineage(complete_pairs(df, cols))
+    return spearman(pairs) if method == "spearman" else kendall(pairs)
 
 
 def impute_mean_by_class(df: DataFrame, cols: Sequence[str], class_col: str) -> DataFrame:

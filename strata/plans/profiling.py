@@ -207,6 +207,38 @@ def q_spearman_correlation(spark, sf):
     return c.select("x", "y", r6("corr").alias("corr"))
 
 
+_KT_COLS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _kendall_sql(a, b):
+    """All couples of distinct value pairs with their counts."""
+    return f"""SELECT '{a}' AS x, '{b}' AS y, round((sum(n * m) FILTER (s > 0) - sum(n * m) FILTER (s < 0)) / (sqrt(sum(n * m) FILTER (x1 <> x2)) * sqrt(sum(n * m) FILTER (y1 <> y2))), 6) AS corr FROM (
+ SELECT p.vx AS x1, q.vx AS x2, p.vy AS y1, q.vy AS y2, p.n::DOUBLE AS n, q.n::DOUBLE AS m, sign(p.vx - q.vx) * sign(p.vy - q.vy) AS s
+ FROM (SELECT {a} AS vx, {b} AS vy, count(*) AS n FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL) p,
+      (SELECT {a} AS vx, {b} AS vy, count(*) AS n FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL) q)"""
+
+
+@register("kendall_correlation", f"""
+WITH t AS (SELECT {_LI_NULLS}, l_linenumber FROM lineitem)
+{' UNION ALL '.join(_kendall_sql(a, b) for a, b in _pairs(_KT_COLS))}
+""")
+def q_kendall_correlation(spark, sf):
+    t = table(spark, sf, "lineitem").selectExpr(*_split(_LI_NULLS), "l_linenumber")
+    c = P.correlation_matrix(t, _KT_COLS, "kendall")
+    return c.select("x", "y", r6("corr").alias("corr"))
+
+
+@register("kendall_wide_range", """
+WITH t AS (SELECT c_acctbal AS a, c_custkey % 997 AS b FROM customer)
+SELECT 'a' AS x, 'b' AS y, round((sum(s) FILTER (s > 0) + sum(s) FILTER (s < 0)) / (sqrt(count(*) FILTER (x1 <> x2)) * sqrt(count(*) FILTER (y1 <> y2))), 6) AS corr
+FROM (SELECT p.a AS x1, q.a AS x2, p.b AS y1, q.b AS y2, sign(p.a - q.a) * sign(p.b - q.b) AS s FROM t p, t q)
+""")
+def q_kendall_wide_range(spark, sf):
+    """A12 where almost every value stands once."""
+    t = table(spark, sf, "customer").select(F.col("c_acctbal").alias("a"), (F.col("c_custkey") % 997).alias("b"))
+    return P.correlation_matrix(t, ["a", "b"], "kendall").select("x", "y", r6("corr").alias("corr"))
+
+
 @register("pair_correlation", """
 SELECT round(corr(o_totalprice, o_custkey), 6) AS corr FROM orders
 """)
