@@ -121,6 +121,23 @@ def derive_ratios(df: DataFrame, ratios: Sequence[tuple[str, str, str]], drop_in
     return df.select(*keep, *new)
 
 
+# The volumes that are divided by the head's.
+VOLUMES = ("Ventricles", "Hippocampus", "Entorhinal", "Fusiform", "MidTemp", "WholeBrain")
+
+
+def derive_features(df: DataFrame, markers: Sequence[str] = ("TAU", "PTAU"), reference: str = "ABETA", volumes: Sequence[str] = VOLUMES, whole: str = "ICV") -> DataFrame:
+    """The full rule set. Each marker that is there becomes ``marker/reference``, and what went into a ratio is dropped:
+    both markers, or either, or (without the reference, or without any marker) none, in which case nothing is touched.
+    If ``whole`` is there, each volume becomes ``volume/whole``, and volumes and ``whole`` are dropped. A ratio with a
+    NULL part, or a zero below, is NULL. One projection."""
+    have = set(df.columns)
+    used = [m for m in markers if m in have] if reference in have else []
+    sized = [v for v in volumes if v in have] if whole in have else []
+    ratios = [(m, reference, f"{m}/{reference}") for m in used] + [(v, whole, f"{v}/{whole}") for v in sized]
+    gone = [*used, *([reference] if used else []), *sized, *([whole] if whole in have else [])]
+    return derive_ratios(df, ratios, drop_inputs=gone)
+
+
 def ordered_category(df: DataFrame, col: str, order: Sequence, out: str = "position") -> DataFrame:
     """Attach the position of each value in a custom order (NULL when
     the value is not listed)."""
