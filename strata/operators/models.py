@@ -22,6 +22,7 @@ import json
 import math
 import os
 import random
+import re
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -156,6 +157,35 @@ def tree_rows(tree_model) -> list[dict]:
     return out
 
 
+_SPLIT_LINE = re.compile(r"If \(feature (\d+) <= (\S+)\)")
+
+
+def tree_rows_from_text(text: str) -> list[dict]:
+    """Node rows (split, children and class only) of a fitted MLlib tree from its printed form, which has thresholds in full:
+    a boosted member votes for a class, so nothing has to be written and read back for it."""
+    lines = [x.strip() for x in text.splitlines()[1:] if x.strip()]
+    rows: list[dict] = []
+    at = 0
+
+    def add() -> int:
+        nonlocal at
+        i = len(rows)
+        row = {"id": i, "left": -1, "right": -1, "fi": -1, "thr": None, "pred": 0, "probs": [], "impurity": 0.0, "n": 0}
+        rows.append(row)
+        line, at = lines[at], at + 1
+        if split := _SPLIT_LINE.fullmatch(line):
+            row["fi"], row["thr"] = int(split[1]), float(split[2])
+            row["left"] = add()
+            at += 1  # the line of the opposite condition
+            row["right"] = add()
+        else:
+            row["pred"] = int(float(line.removeprefix("Predict: ")))
+        return i
+
+    add()
+    return rows
+
+
 def forest_expression(trees: list[list[dict]], features: Sequence[str], leaf: str = "probs") -> Column:
     """Trees as flat literal node arrays plus a bounded traversal per tree
     (``aggregate`` over depth steps): the expression size does not grow with
@@ -432,42 +462,39 @@ def fit_classifier(train: DataFrame, features: Sequence[str], label: str, preset
 def _fit_samme(data: DataFrame, features, classes, p, weight, seed, scaling) -> FittedClassifier:
     """M4: multiclass SAMME boosting of weighted MLlib trees.
 
-    One aggregate per round gives both the weighted error and the new
-    weight total (sum w*(1-miss) + e^alpha * sum w*miss), so a round is one
-    tree fit plus one aggregate. ``weight`` (class weights) multiplies the
-    boosting weights in the trees' fits only. Lineage is cut with a reliable checkpoint
-    every few rounds."""
+    Features are assembled once, into a narrow table of (vector, label, class weight) that all rounds read; only the
+    weight column changes. One aggregate per round gives both the weighted error and the new weight total
+    (sum w*(1-miss) + e^alpha * sum w*miss), so a round is one tree fit plus one aggregate. ``weight`` (class weights)
+    multiplies the boosting weights in the trees' fits only. Lineage is cut with a reliable checkpoint every few rounds."""
     k = len(classes)
     lr = float(p.get("learningRate", 1.0))
     rounds = int(p.get("rounds", 50))
-    fit_w = F.col("_w") * F.col(weight).cast("double") if weight else F.col("_w")
-    base_cols = [c for c in data.columns]
-    cur = cut_lineage(data.withColumn("_w", F.lit(1.0 / max(1, data.count()))))
-    members, alphas = [], []
+    own = _assembler(features).transform(data).select(FEATURES, LABEL_IDX, (F.col(q(weight)).cast("double") if weight else F.lit(1.0)).alias("_class"))
+    own = cut_lineage(own)
+    cur = own.withColumn("_w", F.lit(1.0 / max(1, own.count())))
+    trees, alphas = [], []
     for r in range(rounds):
-        est = DecisionTreeClassifier(labelCol=LABEL_IDX, featuresCol=FEATURES, weightCol="_fit_w", seed=seed + r,
-                                     **_tree_params(p))
-        m = Pipeline(stages=[_assembler(features), est]).fit(cur.withColumn("_fit_w", fit_w))
-        scored = m.transform(cur).withColumn("_miss", (F.col("prediction") != F.col(LABEL_IDX)).cast("double"))
+        est = DecisionTreeClassifier(labelCol=LABEL_IDX, featuresCol=FEATURES, weightCol="_fit_w", seed=seed + r, **_tree_params(p))
+        m = est.fit(cur.withColumn("_fit_w", F.col("_w") * F.col("_class")))
+        scored = m.transform(cur).select(FEATURES, LABEL_IDX, "_class", "_w", (F.col("prediction") != F.col(LABEL_IDX)).cast("double").alias("_miss"))
         g = scored.agg(F.sum(F.col("_w") * F.col("_miss")).alias("wm"), F.sum("_w").alias("w")).first()
         e = (g["wm"] / g["w"]) if g["w"] else None
         if e is None or e >= 1.0 - 1.0 / k:
-            if not members:
-                members, alphas = [m], [1.0]
+            if not trees:
+                trees, alphas = [tree_rows_from_text(m.toDebugString)], [1.0]
             break
-        members.append(m)
+        trees.append(tree_rows_from_text(m.toDebugString))
         if e <= 0:
             alphas.append(1.0)
             break
         alpha = lr * (math.log((1.0 - e) / e) + math.log(k - 1))
         alphas.append(alpha)
         new_total = (g["w"] - g["wm"]) + math.exp(alpha) * g["wm"]
-        nxt = scored.select(*[F.col(q(c)) for c in base_cols],
-                            (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss")) / F.lit(new_total)).alias("_w"))
-        prev, cur = cur, (cut_lineage(nxt) if (r + 1) % 5 == 0 else nxt.cache())
-        prev.unpersist()
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        trees = list(pool.map(lambda mm: tree_rows(mm.stages[-1]), members))
+        nxt = scored.select(FEATURES, LABEL_IDX, "_class", (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss")) / F.lit(new_total)).alias("_w"))
+        prev, cur = cur, (cut_lineage(nxt) if (r + 1) % 10 == 0 else nxt.cache())
+        if r:
+            prev.unpersist()
+    cur.unpersist()
     return FittedClassifier("trees", features, classes, trees=trees, weights=alphas, mode="samme", scaling=scaling)
 
 

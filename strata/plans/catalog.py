@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-PLAN_MODULES = ["prep", "profiling", "fitapply", "evaluation", "neighbours", "imputation", "modelling", "streams"]
+PLAN_MODULES = ["prep", "profiling", "fitapply", "evaluation", "columns", "neighbours", "imputation", "modelling", "attribution", "training", "streams"]
 
 
 def _load() -> None:

@@ -112,17 +112,20 @@ def q_grid_search(spark, sf):
 
 # Fixed values: (kind, settings) of the tuning grids and the published presets, as literals for the oracle.
 @register("param_grids", """
-SELECT * FROM (VALUES ('ada', 162, 5), ('dt', 90, 4), ('et', 216, 5), ('lr', 8, 2), ('rf', 216, 5)) t(kind, settings, params)
+SELECT kind, settings, params, settings * (SELECT count(label) FROM embeddings) AS predictions
+FROM (VALUES ('ada', 162, 5), ('dt', 90, 4), ('et', 216, 5), ('lr', 8, 2), ('rf', 216, 5)) t(kind, settings, params)
 """)
 def q_param_grids(spark, sf):
-    """Distinct settings of each grid."""
+    """Distinct settings of each grid, and the predictions that a search of it makes on the learning set."""
     rows = [(kind, json.dumps(g, sort_keys=True), len(g)) for kind in ("dt", "rf", "et", "ada", "lr") for g in M.param_grid(kind)]
+    n = learning_set(spark, sf).agg(F.count("label").alias("n"))
     return spark.createDataFrame(rows, "kind string, setting string, params int").groupBy("kind", "params").agg(
-        F.countDistinct("setting").cast("int").alias("settings")).select("kind", "settings", "params")
+        F.countDistinct("setting").cast("int").alias("settings")).crossJoin(F.broadcast(n)).select("kind", "settings", "params", (F.col("settings") * F.col("n")).alias("predictions"))  # one row
 
 
 @register("model_presets", """
-SELECT * FROM (VALUES
+WITH c AS (SELECT count(label) AS n, count(DISTINCT label) AS k FROM embeddings)
+SELECT preset, model, impurity, depth, leaf, sampled, balanced, CASE WHEN sampled THEN greatest(n // k, 500) * k ELSE n END AS rows FROM (VALUES
   ('standard', 'Decision_Tree', 'entropy', 5, 8, false, true), ('standard', 'Decision_Tree_Sampled', 'gini', 5, 8, true, true),
   ('standard', 'Random_Forest', 'entropy', 6, 4, false, true), ('standard', 'Random_Forest_Sampled', 'entropy', 6, 4, true, true),
   ('standard', 'Extra_Trees', 'entropy', 30, 4, false, true), ('standard', 'Extra_Trees_Sampled', 'gini', 30, 8, true, true),
@@ -133,13 +136,15 @@ SELECT * FROM (VALUES
   ('alternative', 'Extra_Trees', 'gini', 30, 4, false, true), ('alternative', 'Extra_Trees_Sampled', 'gini', 6, 8, true, true),
   ('alternative', 'Adaptive_Boosting', 'gini', 6, 8, false, true), ('alternative', 'Adaptive_Boosting_Sampled', 'gini', 6, 2, true, true),
   ('alternative', 'M_L_R', NULL, NULL, NULL, false, true), ('alternative', 'M_L_R_Sampled', NULL, NULL, NULL, true, true)
-) t(preset, model, impurity, depth, leaf, sampled, balanced)
+) t(preset, model, impurity, depth, leaf, sampled, balanced), c
 """)
 def q_model_presets(spark, sf):
-    """M7: the published presets."""
-    rows = [(name, p.name, p.params.get("impurity"), p.params.get("maxDepth"), p.params.get("minInstancesPerNode"), p.sampled, p.balanced)
+    """M7: the published presets, and the rows that each is refitted on (R7: rebalanced ones have equal classes)."""
+    counts = RS.class_counts(learning_set(spark, sf).where("label IS NOT NULL"), "label")
+    n, k = sum(counts.values()), len(counts)
+    rows = [(name, p.name, p.params.get("impurity"), p.params.get("maxDepth"), p.params.get("minInstancesPerNode"), p.sampled, p.balanced, RS.final_resample_target(n, k) * k if p.sampled else n)
             for name in ("standard", "alternative") for p in M.model_presets(name)]
-    return spark.createDataFrame(rows, "preset string, model string, impurity string, depth int, leaf int, sampled boolean, balanced boolean")
+    return spark.createDataFrame(rows, "preset string, model string, impurity string, depth int, leaf int, sampled boolean, balanced boolean, rows bigint")
 
 
 @register("score_batch")
@@ -171,8 +176,10 @@ def q_tree_rules(spark, sf):
 
 @register("prune_tree")
 def q_prune_tree(spark, sf):
-    """M1 alpha: weakest-link pruning of the tree at the preset's ccp_alpha."""
-    m, p = _tree(spark, sf)
+    """M1 alpha: weakest-link pruning, at the preset's ccp_alpha, of a tree that was grown without."""
+    train, _ = _split(spark, sf)
+    p = _preset("dt", "Decision_Tree")
+    m = M.fit_classifier(train, FEATURES, "label", M.Preset(p.name, p.kind, {**p.params, "ccp_alpha": 0.0}))
     pruned = E.prune_tree(E.tree_nodes(spark, m), float(p.params.get("ccp_alpha", 0.0)))
     return E.tree_rules(pruned, FEATURES, m.classes)
 
