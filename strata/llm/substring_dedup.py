@@ -19,6 +19,8 @@ WINDOW, PART = 50, 10
 DEPTH, CELLS = 2, 1 << 18
 #: Cells of a row for each estimated fingerprint, and windows that one task groups at once.
 CELLS_EACH, SHARD_WINDOWS = 8, 400_000
+#: A task hands on what it gathered after so many fingerprints, or windows (inside a long text too).
+PRINTS_AT_ONCE, WINDOWS_AT_ONCE = 200_000, 100_000
 #: Odd multipliers: of rolling hashes, and of the sketch's rows.
 BASE_PART, BASE_ONE, BASE_TWO = 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 ROWS = np.asarray([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
@@ -61,37 +63,46 @@ def cuts(sorted_: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, docs, prints): the distinct fingerprints of each document, packed for each batch and block.
+    """(block, docs, prints): the distinct fingerprints of each document, packed for each part of a task and block.
 
-    A fingerprint that several documents of a batch have repeats for certain: those are given at once (block null),
-    and one mark of it (in place of a document) is sent on. So a fingerprint that very many documents have is one mark a batch.
+    A part holds ``PRINTS_AT_ONCE`` fingerprints or those of one long text. A fingerprint that several documents of a part
+    have repeats for certain: those are given at once (block null), and one mark of it (in place of a document) is sent on.
+    So a fingerprint that very many documents have is one mark a part.
     """
+    def sent(ids, prints):
+        ids, prints = np.concatenate(ids), np.concatenate(prints)
+        found, back, times = np.unique(prints, return_inverse=True, return_counts=True)
+        several = times[back] > 1
+        if several.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([ids[several].tobytes()], pa.binary()), pa.array([prints[several].tobytes()], pa.binary())], names=MARK_NAMES)
+        ids = np.concatenate([ids[~several], np.full((times > 1).sum(), MARK, dtype=np.int64)])
+        prints = np.concatenate([prints[~several], found[times > 1]])
+        block = block_of(prints, blocks)
+        order = np.argsort(block, kind="stable")
+        ids, prints, block, at = ids[order], prints[order], block[order], cuts(block[order])
+        pack = lambda values: pa.array([values[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), pack(ids), pack(prints)], names=MARK_NAMES)
+
     def rows(batches):
+        ids, prints, held = [], [], 0
         for batch in batches:
-            ids, prints = [], []
             for b in slices(batch):
                 for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1))):
                     own = np.unique(fingerprints(word_hashes(words_of(text))))
                     ids.append(np.full(len(own), doc, dtype=np.int64))
                     prints.append(own)
-            ids, prints = np.concatenate(ids or [np.empty(0, np.int64)]), np.concatenate(prints or [np.empty(0, np.uint64)])
-            found, back, times = np.unique(prints, return_inverse=True, return_counts=True)
-            several = times[back] > 1
-            if several.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([ids[several].tobytes()], pa.binary()), pa.array([prints[several].tobytes()], pa.binary())], names=MARK_NAMES)
-            ids = np.concatenate([ids[~several], np.full((times > 1).sum(), MARK, dtype=np.int64)])
-            prints = np.concatenate([prints[~several], found[times > 1]])
-            block = block_of(prints, blocks)
-            order = np.argsort(block, kind="stable")
-            ids, prints, block, at = ids[order], prints[order], block[order], cuts(block[order])
-            yield pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), pa.array([ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()), pa.array([prints[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())],
-                                             names=MARK_NAMES)
+                    held += len(own)
+                    if held >= PRINTS_AT_ONCE:
+                        yield from sent(ids, prints)
+                        ids, prints, held = [], [], 0
+        if held:
+            yield from sent(ids, prints)
 
     return docs.mapInArrow(rows, "block bigint, docs binary, prints binary")
 
 
 MARK_NAMES = ["block", "docs", "prints"]
-#: Stands for a document in the mark of a fingerprint that several documents of a batch have.
+#: Stands for a document in the mark of a fingerprint that several documents of a part have.
 MARK = np.iinfo(np.int64).min
 
 
@@ -164,37 +175,48 @@ RUN = "doc_id bigint, whole binary, first int, last int"
 
 
 def windows(docs: DataFrame, shards: int) -> DataFrame:
-    """Windows of (doc_id, whole, text, prints) rows whose fingerprint is among ``prints``, packed for each batch and shard.
+    """Windows of (doc_id, whole, text, prints) rows whose fingerprint is among ``prints``, packed for each part of a task and
+    shard. A part holds at most ``WINDOWS_AT_ONCE`` windows; a long text may make several.
 
-    In each batch, an occurrence in another document than the batch's smallest is known to repeat: it is
-    given as a run at once (shard null). So a window sends on one document for each batch, however many have it.
+    In each part, an occurrence in another document than the part's smallest is known to repeat: it is
+    given as a run at once (shard null). So a window sends on one document for each part, however many have it.
     """
+    def sent(parts):
+        ids, wholes, at, one, two, prints = (np.concatenate(p) for p in zip(*parts))
+        order, repeats = grouped(one, two, ids)
+        known = order[repeats]
+        runs = runs_of(ids[known], wholes[known], at[known])
+        if n := len(runs[0]):
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *runs, *[pa.nulls(n, pa.binary())] * 5], names=WINDOW_NAMES)
+        keep = np.sort(order[~repeats])
+        shard = (mixed(prints[keep] ^ np.uint64(BASE_ONE)) % np.uint64(shards)).astype(np.int64)
+        by = np.argsort(shard, kind="stable")
+        keep, shard, cut = keep[by], shard[by], cuts(shard[by])
+        pick = lambda values, kind: pa.array([packed(values[keep[i:j]], kind) for i, j in zip(cut[:-1], cut[1:])], pa.binary())
+        n = len(cut) - 1
+        none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), *none, pick(ids, "<i8"), pick(wholes, "<u8"), pick(at, "<i4"), pick(one, "<u8"), pick(two, "<u4")], names=WINDOW_NAMES)
+
     def rows(batches):
+        parts, held = [], 0
         for batch in batches:
-            parts = []
             for b in slices(batch):
                 for doc, whole, text, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2)), b.column(3)):
                     hashes = word_hashes(words_of(text))
                     prints = fingerprints(hashes)
-                    at = np.flatnonzero(np.isin(prints, np.asarray(known.values).view(np.uint64)))
-                    if len(at):
-                        one, two = (mixed(rolling(hashes, WINDOW, base))[at] for base in (BASE_ONE, BASE_TWO))
-                        parts.append((np.full(len(at), doc, dtype=np.int64), np.tile(np.frombuffer(whole, dtype="<u8"), (len(at), 1)), at, one, (two >> np.uint64(32)).astype(np.uint32), prints[at]))
-            if not parts:
-                continue
-            ids, wholes, at, one, two, prints = (np.concatenate(p) for p in zip(*parts))
-            order, repeats = grouped(one, two, ids)
-            known = order[repeats]
-            runs = runs_of(ids[known], wholes[known], at[known])
-            if n := len(runs[0]):
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *runs, *[pa.nulls(n, pa.binary())] * 5], names=WINDOW_NAMES)
-            keep = np.sort(order[~repeats])
-            shard = (mixed(prints[keep] ^ np.uint64(BASE_ONE)) % np.uint64(shards)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            keep, shard, cut = keep[by], shard[by], cuts(shard[by])
-            pick = lambda values, kind: pa.array([packed(values[keep[i:j]], kind) for i, j in zip(cut[:-1], cut[1:])], pa.binary())
-            n = len(cut) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pick(ids, "<i8"), pick(wholes, "<u8"), pick(at, "<i4"), pick(one, "<u8"), pick(two, "<u4")], names=WINDOW_NAMES)
+                    every = np.flatnonzero(np.isin(prints, np.asarray(known.values).view(np.uint64)))
+                    if not len(every):
+                        continue
+                    one, two = (mixed(rolling(hashes, WINDOW, base)) for base in (BASE_ONE, BASE_TWO))
+                    while len(every):
+                        at, every = every[:WINDOWS_AT_ONCE - held], every[WINDOWS_AT_ONCE - held:]
+                        parts.append((np.full(len(at), doc, dtype=np.int64), np.tile(np.frombuffer(whole, dtype="<u8"), (len(at), 1)), at, one[at], (two[at] >> np.uint64(32)).astype(np.uint32), prints[at]))
+                        held += len(at)
+                        if held >= WINDOWS_AT_ONCE:
+                            yield from sent(parts)
+                            parts, held = [], 0
+        if parts:
+            yield from sent(parts)
 
     return docs.mapInArrow(rows, f"shard bigint, {RUN}, docs binary, wholes binary, at binary, one binary, two binary")
 
