@@ -7,10 +7,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.operators.graph import connected_components
 
-from .shared import fits, mixed, rolling, slices, strings, word_hashes, written
+from .shared import carried, fits, mixed, rolling, slices, strings, uncarried, word_hashes, written
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -69,7 +70,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id bigint, n bigint, whole binary, first array<bigint>, second array<bigint>")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", with_set: bool = False) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own
     included) and kept (doc_id = component_id). Linked are documents whose sets of distinct five-word shingles
     have 100 * intersection >= ``percent`` * union.
@@ -87,6 +88,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     A null or empty text, or one without words, has an empty set and is linked with nothing. Rows with equal
     ids are documents of their own. A row with a null id is linked by an equal set only, never is a component's
     smallest, and is kept if its component has no id. Other columns are not used. An empty table gives no rows.
+    ``with_set`` adds ``whole``, a 128-bit hash of the row's set, which tells rows of one id apart.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     marks = written(sketches(own), "sketches")
@@ -97,9 +99,45 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     of_node = nodes.select("whole", "node", "least").join(labels, "node", "left").select("whole", "least", F.coalesce("component", "node").alias("component"))
     smallest = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = of_node.join(smallest, "component").select("whole", "component_id")
-    out = marks.where("n > 0").join(of_set, "whole").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    out = out.unionAll(marks.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own_set = ["whole"] if with_set else []
+    out = marks.where("n > 0").join(of_set, "whole").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *own_set)
+    out = out.unionAll(marks.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *own_set))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", *own_set)
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, with the columns it has, and one row of each group of documents that links connect (``near_duplicates``, from
+    ``percent`` on): one of the smallest id.
+
+    Rows are judged, not ids: of equal or linked rows of one id one stays (by the hashes of set and row), and rows of
+    one id whose texts are not linked are documents of their own. Rows without words, and rows with a null id, are linked with
+    nothing here and all stay. An empty table gives no rows. Only rows of ids that stand several times are moved to
+    be told apart, by the hash of their sets; all others are kept or dropped by their id.
+    """
+    judged = written(near_duplicates(docs, percent, id_col, text_col, with_set=True).where("doc_id IS NOT NULL"), "judged")
+    by_id = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept"))
+    moved = written(by_id.where("rows > 1 OR NOT kept").select("doc_id", (F.col("rows") > 1).alias("several")), "moved")
+    gone, several = moved.select("doc_id"), moved.where("several").select("doc_id")
+    key = F.col(f"`{id_col}`").cast("bigint")
+    rest = docs.withColumn("_doc", key).join(fits(gone, 8).withColumnRenamed("doc_id", "_doc"), "_doc", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+    # Rows of an id that stands several times: those that are kept, then one for each id of those with words.
+    own = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *carried(docs, id_col, text_col, True)).join(fits(several, 8), "doc_id")
+
+    names = [*own.columns, "whole"]
+
+    def rows(batches):
+        for batch in batches:
+            for b in slices(batch):
+                whole = [xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in strings(b.column(1))]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(whole, pa.binary())], names=names)
+
+    told = own.mapInArrow(rows, T.StructType([*own.schema.fields, T.StructField("whole", T.BinaryType())]))
+    verdict = judged.join(fits(several, 8), "doc_id").where("kept").groupBy("doc_id", "whole").agg(F.max("n_shingles").alias("n_shingles"))
+    told = written(told.join(verdict, ["doc_id", "whole"]), "several")
+    one = told.where("n_shingles > 0").groupBy("doc_id").agg(F.min_by(F.struct("text", "row"), F.struct("whole", F.xxhash64("text", "row"))).alias("r")).select("r.*")
+    back = one.unionByName(told.where("n_shingles = 0").select("text", "row"))
+    return rest.unionByName(uncarried(back, docs.columns, text_col))
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
@@ -117,7 +155,7 @@ def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, percent: int)
     spark = docs.sparkSession
     sets = full_sets(docs, nodes, members)
     open_ = written(possible(members, sets, percent), "possible")
-    done = spark.createDataFrame([], "a bigint, b bigint, similar boolean")
+    done = spark.createDataFrame([], "a bigint, b bigint")
     labels, left, turn = spark.createDataFrame([], "node bigint, component bigint"), None, 0
     while True:
         placed = open_.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -132,18 +170,29 @@ def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, percent: int)
                 return labels
             final = left["p"] <= 4 * left["keys"] or (before is not None and left["p"] > 0.7 * before["p"])
         if final:
-            return written(connected_components(done.where("similar").select("a", "b").unionAll(rest_linked(placed, sets, percent))), "labels")
+            return merged(labels, written(rest_linked(placed, sets, percent), "links"))
         star = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "c", "component"), F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("a"))
         both = placed.select("key", F.struct("node", "n", "c", "component").alias("b")).join(star, "key").where((F.col("a.component") != F.col("b.component")) & within(percent))
         pairs = both.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         if not turn:
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        fresh = compared(pairs.join(done, ["a", "b"], "left_anti"), sets, percent)
-        done = written(done.unionAll(fresh), "compared")
-        labels = written(connected_components(done.where("similar")), "labels")
+        fresh = written(compared(pairs.join(done, ["a", "b"], "left_anti"), sets, percent), "compared")
+        done = done.unionAll(fresh.select("a", "b"))
+        labels = merged(labels, fresh.where("similar").select("a", "b"))
         turn += 1
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after further links. Only the components that the links connect go through the rounds of
+    ``connected_components``, a node each; all others stay as they are."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = written(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")), "ends")
+    edges = ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    moved = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    every = labels.unionAll(ends.select("a", "of_a")).unionAll(ends.select("b", "of_b")).distinct()
+    return written(every.join(moved, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")
+
+
 #: Nodes of one side that one task compares with nodes of the other.
 QUERY_BLOCK, TARGET_BLOCK = 512, 4096
 
@@ -216,38 +265,45 @@ def possible(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(common, "key").select("key", "node", "n", "c", "i", "j")
 
 
-#: Shingles that one task sorts at once.
-SHARD_SHINGLES = 2_000_000
+#: Shingles that one task groups at once, and after which a task hands on what it gathered (or those of one long text).
+SHARD_SHINGLES, SHINGLES_AT_ONCE = 2_000_000, 500_000
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
     """(node, c): how many of a set's shingles are in another set too.
 
-    A batch knows that of shingles which it has twice; it sends on one mark for each of those, and its
-    other shingles, to the shard of their hash. So a shingle that very many sets have is one row a batch.
+    A part of a task knows that of shingles which it has twice; it sends on one mark for each of those, and its
+    other shingles, to the shard of their hash. So a shingle that very many sets have is one row a part.
     """
     total = sets.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
     shards = np.uint64(max(1, -(-total // SHARD_SHINGLES)))
 
-    def batches_(batches):
+    def sent(nodes, hashes):
+        found, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        twice = times[back] > 1
+        own, c = np.unique(nodes[twice], return_counts=True)
+        none = pa.nulls(len(own), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(own), pa.array(c), none, none], names=SHARED)
+        hashes = np.concatenate([hashes[~twice], found[times > 1]])
+        nodes = np.concatenate([nodes[~twice], np.full((times > 1).sum(), -1, dtype=np.int64)])
+        shard = (hashes % shards).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        at = np.flatnonzero(np.diff(shard[order], prepend=-1, append=int(shards)))
+        parts = [order[i:j] for i, j in zip(at[:-1], at[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()),
+                                          pa.array([nodes[p].tobytes() for p in parts], pa.binary()), pa.array([hashes[p].tobytes() for p in parts], pa.binary())], names=SHARED)
+
+    def parts_(batches):
+        held, n = [], 0
         for b in batches:
-            each = np.diff(b.column(1).offsets.to_numpy())
-            if not each.sum():
-                continue
-            nodes, hashes = np.repeat(b.column(0).to_numpy(), each), b.column(1).flatten().to_numpy().view(np.uint64)
-            found, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
-            twice = times[back] > 1
-            own, c = np.unique(nodes[twice], return_counts=True)
-            none = pa.nulls(len(own), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(own), pa.array(c), none, none], names=SHARED)
-            hashes = np.concatenate([hashes[~twice], found[times > 1]])
-            nodes = np.concatenate([nodes[~twice], np.full((times > 1).sum(), -1, dtype=np.int64)])
-            shard = (hashes % shards).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            at = np.flatnonzero(np.diff(shard[order], prepend=-1, append=int(shards)))
-            parts = [order[i:j] for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()),
-                                              pa.array([nodes[p].tobytes() for p in parts], pa.binary()), pa.array([hashes[p].tobytes() for p in parts], pa.binary())], names=SHARED)
+            for node, own in zip(b.column(0).to_pylist(), b.column(1)):
+                held.append((node, own.values.to_numpy().view(np.uint64)))
+                n += len(held[-1][1])
+                if n >= SHINGLES_AT_ONCE:
+                    yield from sent(np.repeat([k for k, _ in held], [len(v) for _, v in held]), np.concatenate([v for _, v in held]))
+                    held, n = [], 0
+        if n:
+            yield from sent(np.repeat([k for k, _ in held], [len(v) for _, v in held]), np.concatenate([v for _, v in held]))
 
     def group(table: pa.Table) -> pa.Table:
         nodes, hashes = (np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in table[name]]) for name, kind in (("nodes", np.int64), ("hashes", np.uint64)))
@@ -257,7 +313,7 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
         own, c = np.unique(nodes[order][also], return_counts=True)
         return pa.table({"node": own[own >= 0], "c": c[own >= 0]})
 
-    sent = sets.select("node", "shingles").mapInArrow(batches_, "shard bigint, node bigint, c bigint, nodes binary, hashes binary")
+    sent = sets.select("node", "shingles").mapInArrow(parts_, "shard bigint, node bigint, c bigint, nodes binary, hashes binary")
     sent = written(sent, "shingles")
     of_shards = sent.where("shard IS NOT NULL").select("shard", "nodes", "hashes").groupBy("shard").applyInArrow(group, "node bigint, c bigint")
     return sent.where("shard IS NULL").select("node", "c").unionAll(of_shards).groupBy("node").agg(F.sum("c").alias("c"))

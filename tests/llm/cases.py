@@ -85,6 +85,26 @@ def near(rows: list[tuple], percent: int = 85) -> list[tuple]:
     return [(d, len(s), least[find(i)], d == least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
+def groups(rows: list[tuple], percent: int) -> list[list[int]]:
+    """Row numbers of each group of linked rows with words and an id; the others are left out."""
+    known = [i for i, (d, t) in enumerate(rows) if d is not None and shingles(t)]
+    own, out = {i: shingles(rows[i][1]) for i in known}, {}
+    root = {i: i for i in known}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in known:
+        for j in known:
+            if j < i and 100 * len(own[i] & own[j]) >= percent * len(own[i] | own[j]):
+                root[find(i)] = find(j)
+    for i in known:
+        out.setdefault(find(i), []).append(i)
+    return list(out.values())
+
+
 def distance(item: bytes, text: bytes) -> int:
     """Smallest edit distance of ``item`` to any part of ``text``, by the full table."""
     row = [0] * (len(text) + 1)
