@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -44,34 +47,37 @@ class Notice:
         self.pattern = regex.compile(rf"(?<= )(?:{regex.escape(phrase)}){{e<={self.edits}}}(?= )", regex.BESTMATCH)
 
     def windows(self, padded: bytes) -> list[tuple[int, int]]:
-        """Byte ranges that may hold a match, from the seeds' places; ranges that overlap are joined."""
-        found = []
+        """Byte ranges that may hold a match, one for each place that a seed points to; places within the edit budget of
+        each other are one range. So a range is as long as the notice and its margins, however often a text repeats it."""
+        starts = set()
         for offset, seed in self.seeds:
             at = padded.find(seed)
             while at >= 0:
-                found.append((max(0, at - offset - 3 * self.edits - 1), at - offset + len(self.phrase) + 3 * self.edits + 1))
+                starts.add(at - offset)
                 at = padded.find(seed, at + 1)
-        out: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], max(b, out[-1][1]))
+        margin, out, first = 3 * self.edits + 1, [], None
+        for a in sorted(starts):
+            if first is None or a > first + self.edits:
+                first = a
+                out.append((max(0, a - margin), a + len(self.phrase) + margin))
             else:
-                out.append((a, b))
+                out[-1] = (out[-1][0], a + len(self.phrase) + margin)
         return out
 
     def matches(self, text: str) -> list:
-        """Matches that do not overlap, in order: the best one, and those of the parts before and after it."""
+        """Matches in a range that do not overlap: the best one, and those of the parts before and after it."""
         out, parts = [], [(0, len(text))]
         while parts:
             lo, hi = parts.pop()
-            if m := self.pattern.search(text, lo, hi):
+            if hi - lo >= len(self.phrase) - self.edits and (m := self.pattern.search(text, lo, hi)):
                 out.append(m)
                 parts += [(lo, m.start()), (m.end(), hi)]
-        return sorted(out, key=lambda m: m.start())
+        return out
 
-    def spans(self, padded: bytes) -> list[tuple[int, int, int]]:
-        """(first word, last word, edits) of each match that the bounded-error pattern confirms."""
-        out = []
+    def spans(self, padded: bytes, spaces: np.ndarray) -> list[tuple[int, int, int]]:
+        """(first word, last word, edits) of each match that the bounded-error pattern confirms, in order; of matches that
+        overlap, that with fewer edits (then the first). ``spaces`` are the places of all spaces of the padded text."""
+        found = set()
         for a, b in self.windows(padded):
             while a and padded[a] & 0xC0 == 0x80:
                 a -= 1
@@ -80,22 +86,27 @@ class Notice:
             text = padded[a:b].decode()
             for m in self.matches(text):
                 start, end = (a + len(text[:i].encode()) for i in m.span())
-                first = padded.count(b" ", 0, start) - 1
-                out.append((first, first + padded.count(b" ", start, end), sum(m.fuzzy_counts)))
-        return out
+                found.add((sum(m.fuzzy_counts), start, end))
+        taken: list[tuple[int, int, int]] = []
+        for edits, start, end in sorted(found):
+            at = bisect.bisect(taken, (start, end))
+            if (not at or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (start, end, edits))
+        return [(int(np.searchsorted(spaces, start)) - 1, int(np.searchsorted(spaces, end)) - 1, edits) for start, end, edits in taken]
 
 
 def scan_text(text: str, phrases: dict[bytes, str], notices: list[Notice]):
     """(number of words, [(start word, label)] of exact places, spans of notices)."""
     words = text.encode().translate(WORDS_ONLY).split()
     padded = b" " + b" ".join(words) + b" "
+    spaces = np.flatnonzero(np.frombuffer(padded, dtype=np.uint8) == 32)
     base = []
     for phrase, label in phrases.items():
         at = padded.find(phrase)
         while at >= 0:
-            base.append((padded.count(b" ", 0, at), label))
+            base.append((int(np.searchsorted(spaces, at)), label))
             at = padded.find(phrase, at + 1)
-    return len(words), base, [(n.label, n.phrase, *s) for n in notices for s in n.spans(padded)]
+    return len(words), base, [(n.label, n.phrase, *s) for n in notices for s in n.spans(padded, spaces)]
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -153,6 +154,28 @@ def test_license_spans_before_a_better_match():
     assert [s[2:] for s in spans] == [(0, 1, 1), (3, 4, 0), (6, 7, 1)]
 
 
+def test_license_scan_of_a_megabyte_of_notices():
+    known = [license_scan.Notice(p, label) for p, label in license_scan.NOTICES.items()]
+    began = time.process_time()
+    n, _, spans = license_scan.scan_text("licensd under the apache license version 2 0 " * 22_000, {}, known)
+    assert n == 22_000 * 8 and sum(s[1].startswith("licensed") for s in spans) == 22_000
+    assert time.process_time() - began < 60
+
+
+def test_parts_of_long_texts_find_the_same(spark, monkeypatch):
+    """Tasks that hand on a few windows and fingerprints at a time, inside texts too."""
+    docs = cases.documents(spark).repartition(3)
+    parts = []
+    monkeypatch.setattr(substring_dedup, "WINDOWS_AT_ONCE", 97)
+    monkeypatch.setattr(substring_dedup, "PRINTS_AT_ONCE", 50)
+    own = docs.where("doc_id IS NOT NULL").selectExpr("doc_id", "unhex(md5(text)) AS whole", "text")
+    marked = list(substring_dedup.marks(own.select("doc_id", "text"), 3).collect())
+    parts = [r for r in marked if r["block"] is not None]
+    assert len(parts) > 10 and max(len(r["prints"]) for r in parts) < 8 * 3000
+    got = substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert cases.ordered(got) == cases.ordered(cases.substring(cases.rows_of(docs)))
+
+
 def contaminated(spark):
     rng = random.Random(9)
     items = [(0, cases.words(rng, 40)), (1, cases.words(rng, 30)), (2, None), (3, ""), (4, " .,"), (5, "short one")]
