@@ -13,45 +13,56 @@ from pyspark.sql import types as T
 
 from .shared import carried, slices, strings
 
-LEVEL = 3
+LEVEL = 6
+#: Where the calibration line may bend, in shares of the calibration texts.
+BENDS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
 @dataclass
 class CompressionClassifier:
-    """Two dictionaries and the calibration of what a text's compressed sizes with them say."""
+    """Two dictionaries, and the calibration of the difference of a text's compressed sizes with them."""
 
     bad: bytes
     good: bytes
+    bends: tuple[tuple[float, ...], tuple[float, ...]]
     weights: tuple[float, ...]
 
+    def scorer(self):
+        """texts -> scores; the dictionaries are loaded once."""
+        size = sizer(self.bad, self.good)
+        return lambda texts: calibrated(differences(size(texts)), self.bends, np.asarray(self.weights))
+
     def scores(self, texts: list[str]) -> np.ndarray:
-        return calibrated(sizes(self.bad, self.good, texts), np.asarray(self.weights))
+        return self.scorer()(texts)
 
 
-def sizes(bad: bytes, good: bytes, texts: list[str]) -> np.ndarray:
-    """(bytes with the bad dictionary, bytes with the good one, plain bytes) of each whole text."""
+def sizer(bad: bytes, good: bytes):
+    """texts -> (bytes with the bad dictionary, bytes with the good one, plain bytes) of each whole text."""
     press = []
     for d in (bad, good):
-        held = zstandard.ZstdCompressionDict(d) if d else None
+        held = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None
         press.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False).compress)
-    out = [(len(press[0](t)), len(press[1](t)), len(t)) for t in (t.encode() for t in texts)]
-    return np.asarray(out, dtype=float).reshape(-1, 3)
+    return lambda texts: np.asarray([(len(press[0](t)), len(press[1](t)), len(t)) for t in (t.encode() for t in texts)], dtype=float).reshape(-1, 3)
+
+
+def differences(size: np.ndarray) -> np.ndarray:
+    """The size difference, normalised by the compressed bytes and by the bytes of text: all that a score knows of a text.
+    Empty texts have none."""
+    diff = size[:, 0] - size[:, 1]
+    return np.column_stack([diff / np.maximum(size[:, :2].sum(axis=1), 1), diff / np.maximum(size[:, 2], 1)])
 
 
-def features(size: np.ndarray) -> np.ndarray:
-    """1, the size difference per compressed byte and per byte of text, what the good dictionary leaves of a byte, and
-    the text's length. Empty texts have no difference."""
-    diff, plain = size[:, 0] - size[:, 1], np.maximum(size[:, 2], 1)
-    return np.column_stack([np.ones(len(size)), diff / size[:, :2].sum(axis=1), diff / plain, size[:, 1] / plain, np.log1p(size[:, 2]) / 10])
+def features(diff: np.ndarray, bends) -> np.ndarray:
+    """1, the two differences, and how far each is beyond each of its bends: the calibration is a line that bends there."""
+    return np.column_stack([np.ones(len(diff)), diff, *[np.maximum(diff[:, i] - b, 0) for i, own in enumerate(bends) for b in own]])
 
 
-def calibrated(size: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(features(size) @ weights, -30, 30)))
+def calibrated(diff: np.ndarray, bends, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features(diff, bends) @ weights, -30, 30)))
 
 
-def fitted_weights(size: np.ndarray, labels: np.ndarray, rounds: int = 100) -> np.ndarray:
+def fitted_weights(x: np.ndarray, labels: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Logistic calibration by Newton steps with a small ridge; a step that does not lower the loss is halved."""
-    x = features(size)
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-3)
 
     def loss(w):
@@ -68,22 +79,19 @@ def fitted_weights(size: np.ndarray, labels: np.ndarray, rounds: int = 100) -> n
     return w
 
 
-def trained_dictionary(texts: list[str], size: int) -> bytes:
-    """A zstandard dictionary; long texts are cut into samples of 4 KB. With too few samples to train on, the texts themselves are it."""
-    samples = [b[i:i + 4096] for b in (t.encode() for t in texts) for i in range(0, len(b), 4096)]
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+def dictionary(texts: list[str], size: int) -> bytes:
+    """A raw-content dictionary: the last ``size`` bytes of the texts, one after the other."""
+    return b"".join(t.encode() for t in texts)[-size:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-        per_class: int = 1000, calibration: int = 4000, longest: int = 65536, dictionary_bytes: int = 262_144) -> CompressionClassifier:
+        per_class: int = 1000, calibration: int = 4000, longest: int = 32768, dictionary_bytes: int = 1 << 20) -> CompressionClassifier:
     """Learn from a bounded sample of labelled rows, whatever the tables' size.
 
     A hash of the id deals labelled documents to two halves. Of the one, the first ``per_class`` of each class
-    (by another hash) train that class's dictionary; of the other, the first ``calibration`` in their natural
-    mix calibrate the score. Documents over ``longest`` characters take no part. Only those at most
+    (by another hash) make that class's dictionary, of ``dictionary_bytes`` at most; of the other, the first ``calibration``
+    in their natural mix calibrate the score: logistic on the normalised size differences, along a line that may bend at a
+    few of their quantiles. Documents over ``longest`` characters take no part. Only those at most
     2 ``per_class`` + ``calibration`` texts come to the driver. Only texts are learned from.
 
     Null labels, ids and texts take no part; an id with several labels counts with its largest, one with
@@ -100,16 +108,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     texts = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where(F.length("t") <= longest)
     # ``picked`` has at most 2 per_class + calibration rows of three numbers.
     sample = texts.join(F.broadcast(picked), "i").groupBy("i", "train", "y").agg(F.min("t").alias("t")).orderBy("i").collect()
-    bad, good = (trained_dictionary([r["t"] for r in sample if r["train"] and r["y"] == y], dictionary_bytes) for y in (0, 1))
+    bad, good = (dictionary([r["t"] for r in sample if r["train"] and r["y"] == y], dictionary_bytes) for y in (0, 1))
     rest = [(r["t"], r["y"]) for r in sample if not r["train"]]
-    weights = fitted_weights(sizes(bad, good, [t for t, _ in rest]), np.asarray([y for _, y in rest], dtype=float)) if rest else np.zeros(5)
-    return CompressionClassifier(bad, good, tuple(float(w) for w in weights))
+    if not rest:
+        return CompressionClassifier(bad, good, ((), ()), (0.0, 0.0, 0.0))
+    diff = differences(sizer(bad, good)([t for t, _ in rest]))
+    bends = tuple(tuple(float(b) for b in np.unique(np.quantile(diff[:, i], BENDS))) for i in range(2))
+    weights = fitted_weights(features(diff, bends), np.asarray([y for _, y in rest], dtype=float))
+    return CompressionClassifier(bad, good, bends, tuple(float(w) for w in weights))
 
 
 def quality_scores(docs: DataFrame, model: CompressionClassifier, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= ``threshold``) of every whole text.
 
-    One pass without any shuffle; the model is half a megabyte. A null text is scored as the
+    One pass without any shuffle; the model is two megabytes. A null text is scored as the
     empty one; rows with equal or null ids each get their row; an empty table gives no rows. With ``carry``
     there are ``text`` and ``row`` (all other columns, whatever their names) in place of the id.
     """
@@ -117,9 +129,10 @@ def quality_scores(docs: DataFrame, model: CompressionClassifier, threshold: flo
     result = own if carry else own.drop("text")
 
     def rows(batches):
+        scores = model.scorer()
         for batch in batches:
             for b in slices(batch):
-                score = model.scores(strings(b.column(0)))
+                score = scores(strings(b.column(0)))
                 yield pa.RecordBatch.from_arrays([*b.columns[0 if carry else 1:], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=names)
 
     names = [*result.columns, "score", "predicted"]
