@@ -7,6 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fits, written
+
 #: (rule, verdict): a rule is a host, with all its subdomains, and a prefix of the path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -57,8 +59,9 @@ def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, t
     The longest fitting rule gives the verdict. URLs that a rule labels also train gradient-boosted trees
     (on at most ``train_rows`` of them, in the order of a hash of the URL), which judge the others: block from
     a probability of 0.5 on. Suffix statistics, the smoothed share of blocked URLs for each of the last two
-    host labels, are taken over all labelled URLs and joined by suffix, pre-aggregated; they stay
-    a distributed table.
+    host labels, are taken over all labelled URLs, pre-aggregated; they stay a distributed table, and are broadcast where
+    their counted rows fit, so a very common suffix is no single task's join. Training URLs get theirs from the other
+    folds of URLs, judged ones from all.
 
     Everything runs in the JVM. A null or unparsable URL has an empty host and path and is judged by the trees;
     rows with equal or null ids each get their row; other columns are not used; an empty table gives no
@@ -74,17 +77,41 @@ def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, t
     result = ["page_id", "host", "path", "rule"]
     if len(kinds) < 2:
         return judged.select(*result, F.coalesce("by_rule", F.lit(kinds[0] if kinds else "allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    suffixes = known.groupBy("suffix").agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("seen")).select(
-        "suffix", ((F.col("blocked") + 1) / (F.col("seen") + 2)).alias("suffix_share"), F.log1p("seen").alias("suffix_weight"))
+    # Labelled URLs for each suffix and fold of URLs, and of all folds.
+    parts = written(known.groupBy("suffix", fold_of("url")).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("seen")), "suffixes")
+    whole = parts.groupBy("suffix").agg(F.sum("blocked").alias("blocked"), F.sum("seen").alias("seen"))
+    sample = known.orderBy(F.xxhash64("url"), "page_id").limit(train_rows).select("*", fold_of("url"))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    sample = known.orderBy(F.xxhash64("url"), "page_id").limit(train_rows).join(suffixes, "suffix")
-    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed).fit(vector.transform(sample).select("features", "label"))
-    every = judged.join(suffixes, "suffix", "left").fillna({"suffix_share": 0.5, "suffix_weight": 0.0})
+    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed).fit(vector.transform(training_suffixes(sample, parts)).select("features", "label"))
+    suffixes = written(whole.select("suffix", *suffix_statistics(F.col("blocked"), F.col("seen"))), "suffix-shares")
+    every = judged.join(fits(suffixes, SUFFIX_BYTES), "suffix", "left").fillna({"suffix_share": 0.5, "suffix_weight": 0.0})
     scored = model.transform(vector.transform(every))
     blocked = vector_to_probability("probability")
     return scored.select(*result, F.coalesce("by_rule", F.when(blocked >= 0.5, "block").otherwise("allow")).alias("verdict"), blocked.alias("score"))
 
 
+#: Parts that labelled URLs are dealt to, and bytes that a suffix with its statistics takes (a host has 253 characters at most).
+FOLDS, SUFFIX_BYTES = 5, 300
+
+
+def fold_of(url: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col(url)), F.lit(FOLDS)).alias("fold")
+
+
+def suffix_statistics(blocked: Column, seen: Column) -> tuple[Column, Column]:
+    """The smoothed share of blocked URLs, and how many there are."""
+    return ((blocked + 1) / (seen + 2)).alias("suffix_share"), F.log1p(seen).alias("suffix_weight")
+
+
+def training_suffixes(sample: DataFrame, parts: DataFrame) -> DataFrame:
+    """``sample`` (with suffix and fold) with the suffix statistics of the other folds only, so that neither a URL's own label
+    nor that of an equal URL is in its features. ``parts``: blocked and seen for each (suffix, fold)."""
+    whole = parts.groupBy("suffix").agg(F.sum("blocked").alias("blocked"), F.sum("seen").alias("seen"))
+    own = parts.withColumnsRenamed({"blocked": "own_blocked", "seen": "own_seen"})
+    others = sample.select("suffix", "fold").distinct().join(own, ["suffix", "fold"]).join(whole, "suffix")
+    return sample.join(others.select("suffix", "fold", *suffix_statistics(F.col("blocked") - F.col("own_blocked"), F.col("seen") - F.col("own_seen"))), ["suffix", "fold"])
+
+
 def vector_to_probability(column: str) -> Column:
     """The second entry of a vector column."""
     from pyspark.ml.functions import vector_to_array
