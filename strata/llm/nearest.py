@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Vectors of the sample that the trees' planes are fitted on, trees, leaves of each.
-SAMPLE, TREES, LEAVES = 20_000, 8, 64
-#: The search of a query ends when the leaves that it has taken would hold this share of the rows if trees were independent.
-COVERAGE = 0.76
-#: The search goes on until one tree's leaves hold so many rows (all, if there are fewer), so that small tables give whole answers.
-LEAST_ROWS = 500
+#: Vectors of the sample that the trees' planes are fitted on, and trees.
+SAMPLE, TREES = 20_000, 8
+#: Rows that a leaf should hold, the fewest leaves of a tree, and the fewest sample vectors for a leaf.
+LEAF_ROWS, FEWEST_LEAVES, LEAF_SAMPLE = 512, 16, 16
+#: The share of a query's neighbours that its leaves should hold, and sample vectors that are searched to find out how far to go.
+RECALL, PROBES = 0.97, 100
 #: Rows of a leaf that one task compares at once.
 BLOCK_ROWS = 20_000
 
@@ -74,25 +74,55 @@ def fit_tree(sample: np.ndarray, leaves: int, rng: np.random.Generator) -> Tree:
     return Tree(np.asarray(normals), np.asarray(thresholds), np.asarray(below), np.asarray(above))
 
 
-def visits(forest: list[Tree], sizes: dict[tuple[int, int], int], total: int, vector: np.ndarray, coverage: float, least: int) -> list[tuple[int, int]]:
-    """Leaves for one query, from one queue over all trees ordered by the distance to the planes on the way, until they
-    reach ``coverage`` and one tree's hold ``least`` rows."""
-    queue, taken, missed, out = [(0.0, t, 0) for t in range(len(forest))], [0] * len(forest), 1.0, []
-    while queue and (missed > 1 - coverage or max(taken) < least):
+def nearest_leaves(forest: list[Tree], sizes: dict[tuple[int, int], int], total: int, vector: np.ndarray):
+    """(tree, leaf, taken, missed) for one query, from one queue over all trees ordered by the distance to the planes on the way:
+    the most rows of one tree that were taken, and the share of rows that would be missed if trees were independent."""
+    queue, taken = [(0.0, t, 0) for t in range(len(forest))], [0] * len(forest)
+    while queue:
         far, t, node = heapq.heappop(queue)
         tree = forest[t]
         if tree.below[node] < 0:
             if n := sizes.get((t, node), 0):
-                out.append((t, node))
                 taken[t] += n
-                missed = float(np.prod([1 - x / total for x in taken]))
+                yield t, node, max(taken), float(np.prod([1 - x / total for x in taken]))
             continue
         gap = float(vector @ tree.normals[node] - tree.thresholds[node])
         heapq.heappush(queue, (max(far, gap) if gap > 0 else far, t, int(tree.below[node])))
         heapq.heappush(queue, (max(far, -gap) if gap <= 0 else far, t, int(tree.above[node])))
+
+
+def visits(forest: list[Tree], sizes: dict[tuple[int, int], int], total: int, vector: np.ndarray, coverage: float, least: int) -> list[tuple[int, int]]:
+    """Leaves for one query, until they reach ``coverage`` and one tree's hold ``least`` rows."""
+    out = []
+    for t, node, taken, missed in nearest_leaves(forest, sizes, total, vector):
+        out.append((t, node))
+        if missed <= 1 - coverage and taken >= least:
+            break
     return out
 
 
+def needed_coverage(forest: list[Tree], data: np.ndarray, k: int, recall: float, probes: int = PROBES) -> float:
+    """The coverage that finds the share ``recall`` of the ``k`` nearest sample vectors of the first ``probes`` ones. Vectors
+    with structure need little of the table, vectors without much of it; the sample is searched exactly to know."""
+    at = [tree.leaves(data) for tree in forest]
+    sizes = {(t, int(leaf)): int(n) for t, own in enumerate(at) for leaf, n in zip(*np.unique(own, return_counts=True))}
+    if len(data) <= 4 * k:
+        return 1.0
+    needed = []
+    for i in range(min(probes, len(data))):
+        far = np.square(data - data[i]).sum(axis=1)
+        far[i] = np.inf
+        near = np.argpartition(far, k)[:k]
+        left = dict.fromkeys(near.tolist())
+        for t, leaf, _, missed in nearest_leaves(forest, sizes, len(data), data[i]):
+            for x in [x for x in left if at[t][x] == leaf]:
+                del left[x]
+                needed.append(1 - missed)
+            if not left:
+                break
+    return float(np.quantile(needed, recall, method="higher"))
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -107,8 +137,8 @@ def usable(vector: str) -> Column:
 RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", coverage: float = COVERAGE,
-            sample: int = SAMPLE, trees: int = TREES, leaves: int = LEAVES, block_rows: int = BLOCK_ROWS, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", coverage: float | None = None,
+            recall: float = RECALL, sample: int = SAMPLE, trees: int = TREES, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS, seed: int = 5) -> DataFrame:
     """The ``k`` nearest found of all other rows for each row that meets ``is_query`` (a condition on ``vec_id``):
     query_id, rank (from 1), vec_id, score (Euclidean distance in double precision, on the original vectors);
     nearest first, ties to the smaller vec_id.
@@ -116,8 +146,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     1. Equal vectors become one row with their k + 1 smallest distinct ids and how often each stands there (more can
        be in no result), counted and limited before the shuffle, so a vector that a third of all rows have is one row.
     2. ``trees`` trees are fitted on at most ``sample`` vectors (the first by a hash), which come to the driver; every
-       vector is put in a leaf of each tree. A leaf's rows are dealt to blocks of about ``block_rows``.
-    3. A query takes leaves of all trees from one priority queue until ``coverage`` and ``LEAST_ROWS`` are reached. Those leaves' rows are
+       vector is put in a leaf of each tree. Leaves grow in number with the rows, up to what the sample can tell apart;
+       a leaf's rows are dealt to blocks of about ``block_rows``.
+    3. A query takes leaves of all trees from one priority queue until they reach ``coverage``: unless given, what
+       ``recall`` of the neighbours of some sample vectors, searched exactly within the sample, needs. Those leaves' rows are
        compared exactly, and each block sends on the nearest only that leave k whichever single id is taken out.
 
     Rows with null id, or with a vector that is null, zero or holds null or non-finite components, take no part,
@@ -139,15 +171,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     asked = written(rows.where(is_query).select("vec_id", "h", "vec").join(points.select("h", "vec", "node"), ["h", "vec"]).select("vec_id", "node").distinct(), "asked")
     own = asked.groupBy("vec_id").count().agg(F.max("count").alias("n")).first()["n"] or 0  # most vectors of one query id
 
-    forest = fitted(points, dim, sample, trees, leaves, seed)
+    leaves = max(FEWEST_LEAVES, points.count() // leaf_rows)
+    forest, data = fitted(points, dim, sample, trees, leaves, seed)
+    if coverage is None:
+        coverage = needed_coverage(forest, data, k, recall)
     only = F.when(F.size("ids") == 1, F.col("ids")[0]["vec_id"]).alias("only")
     placed = written(points.select("node", "vec", only).mapInArrow(_placer(forest, dim), "tree int, leaf int, node bigint, only bigint, vec " + points.schema["vec"].dataType.simpleString()), "leaves")
-    sizes = {(r["tree"], r["leaf"]): r["count"] for r in placed.groupBy("tree", "leaf").count().collect()}  # at most trees * 2 leaves
+    sizes = {(r["tree"], r["leaf"]): r["count"] for r in placed.groupBy("tree", "leaf").count().collect()}  # at most trees * 2 * sample / LEAF_SAMPLE
     total = sum(n for (t, _), n in sizes.items() if t == 0)
     blocks = max(1, -(-max(sizes.values(), default=1) // block_rows))
 
     queries = points.join(asked.select("node").distinct(), "node").select("node", "vec")
-    visited = queries.mapInArrow(_searcher(forest, sizes, total, dim, coverage, max(k + own, LEAST_ROWS)), placed.drop("only").schema).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    visited = queries.mapInArrow(_searcher(forest, sizes, total, dim, coverage, k + own), placed.drop("only").schema).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     candidates = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
     keys = ["tree", "leaf", "block"]
     near = visited.groupBy(keys).cogroup(candidates.groupBy(keys)).applyInArrow(_comparer(dim, k), "query bigint, node bigint, score double")
@@ -162,11 +197,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def fitted(points: DataFrame, dim: int, sample: int, trees: int, leaves: int, seed: int) -> list[Tree]:
-    """The forest, on the driver, from a sample of bounded size."""
+def fitted(points: DataFrame, dim: int, sample: int, trees: int, leaves: int, seed: int) -> tuple[list[Tree], np.ndarray]:
+    """The forest, on the driver, from a sample of bounded size, and that sample."""
     chosen = points.select("h", "vec").orderBy(F.xxhash64("h"), "h").limit(sample).select("vec").toArrow()
     data = matrix(chosen["vec"], dim)
-    return [fit_tree(data, leaves, np.random.default_rng(seed + t)) for t in range(trees)]
+    leaves = max(2, min(leaves, len(data) // LEAF_SAMPLE))
+    return [fit_tree(data, leaves, np.random.default_rng(seed + t)) for t in range(trees)], data
 
 
 def _placer(forest: list[Tree], dim: int):
