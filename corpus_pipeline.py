@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import decontaminate, near_dedup, packing, quality, substring_dedup
-from strata.llm.shared import documents, fits, uncarried, written
+from strata.llm.shared import documents, uncarried, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest id."""
-    judged = near_dedup.near_duplicates(docs).where("doc_id IS NOT NULL")
-    gone = written(judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id"), "gone")
-    return docs.join(fits(gone, 8), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """One row of each group of near duplicates stays, one of the smallest id; documents are linked from a similarity of 0.8
+    on. Rows are judged, not ids: of equal rows of one id one stays, rows of one id with unlike texts all do. Rows without
+    words or with a null id stay."""
+    return near_dedup.without_near_duplicates(docs, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
