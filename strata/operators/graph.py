@@ -23,31 +23,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Large-star and small-star rounds (Kiveris et al., 2014): each replaces a node's edges by edges to its
     smallest neighbour, which needs a logarithmic number of rounds in practice whatever the diameter, so
-    chains of any length end in one component. The rounds go on until the edges stay as they are; there is
+    chains of any length end in one component. The rounds go on until all edges lead to a smallest node; there is
     no limit to them. Minima are pre-aggregated, so a node with very many edges costs no more than its rows.
     """
-    loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
+    loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("component"))
     e = _saved(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    nodes = e.select(F.col("u").alias("node")).unionAll(e.select(F.col("v").alias("node"))).unionAll(loops).distinct()
-    state = _digest(e)
-    while state[0]:
+    while not _stars(e):
         e = _saved(_small_star(_large_star(e)))
-        if (new := _digest(e)) == state:
-            break
-        state = new
-    return nodes.join(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")), "node", "left").select("node", F.coalesce("least", "node").alias("component"))
+    ends = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v")).unionAll(loops)
+    return ends.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _digest(e: DataFrame) -> tuple[int, int | None]:
-    r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-    return r["n"], None if r["h"] is None else int(r["h"])
+def _stars(e: DataFrame) -> bool:
+    """Whether each larger end has one edge, to a node that is no larger end itself: further rounds would change nothing."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(e.select("v", F.lit(0), F.lit(1)))
+    others = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1")
+    return others.agg(F.count(F.lit(1)).alias("n")).first()["n"] == 0
 
 
 def _large_star(e: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node gets an edge to the smallest of the node and its neighbours."""
+    """Each larger neighbour of a node gets an edge to the smallest of the node and its neighbours (no more rows than ``e``)."""
     both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
