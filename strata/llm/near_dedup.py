@@ -161,11 +161,11 @@ def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, percent: int)
         placed = open_.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         final = False
         if turn:
-            # Only keys whose nodes are not of one component yet; how many pairs they hold, from counts.
-            mixed_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-            open_ = placed = written(placed.join(mixed_, "key"), "open")
-            in_key = open_.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-            before, left = left, in_key.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"), F.count(F.lit(1)).alias("keys")).first()
+            # Only keys whose nodes are not of one component yet, each row with its part of the key's pairs and of the key.
+            in_key = placed.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("rows"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
+            placed = written(placed.join(in_key.where("p > 0").select("key", (F.col("p") / F.col("rows")).alias("p"), (1 / F.col("rows")).alias("k")), "key"), "open")
+            before, left = left, placed.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"), F.sum("k").alias("keys")).first()
+            open_ = placed = placed.drop("p", "k")
             if not left["p"]:
                 return labels
             final = left["p"] <= 4 * left["keys"] or (before is not None and left["p"] > 0.7 * before["p"])
@@ -187,7 +187,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     ``connected_components``, a node each; all others stay as they are."""
     of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     ends = written(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")), "ends")
-    edges = ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    edges = ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     moved = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("least"))
     every = labels.unionAll(ends.select("a", "of_a")).unionAll(ends.select("b", "of_b")).distinct()
     return written(every.join(moved, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")
@@ -204,7 +204,7 @@ def rest_linked(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     component are compared with all its nodes, block against block, on full sets; only links leave a task.
     """
     star = placed.groupBy("key").agg(F.min("node").alias("a"))
-    edges = placed.select("key", F.col("node").alias("b")).join(star, "key").select("a", "b").distinct()
+    edges = placed.select("key", F.col("node").alias("b")).join(star, "key").select("a", "b")
     cluster = connected_components(edges).withColumnRenamed("component", "cluster")
     nodes = written(placed.select("node", "n", "c", "component").distinct().join(cluster, "node"), "rest")
     size = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
