@@ -7,6 +7,8 @@ import os
 import re
 from array import array
 
+from .shared import held
+
 #: Longest chunk that the memo keeps, in characters.
 KEPT_CHARS = 48
 #: White space besides space and line feed, with all that Python or the library might take for it.
@@ -134,11 +136,6 @@ def style_of(path: str) -> str:
     return "whole"
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """One for each Python worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: ChunkEncoder(path))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +51,25 @@ class Memo(dict):
         return value
 
 
-#: Word (bytes) -> 64-bit hash; one memo for each Python worker process, which outlives tasks.
-WORD_HASHES = Memo(xxhash.xxh3_64_intdigest)
+_HELD: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker process keeps under ``name`` from task to task. A worker serves one operator after the other, so
+    it holds the tables of one at a time: another name's go first, and their memory with them."""
+    if name not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _HELD[name] = make()
+    return _HELD[name]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORD_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    """64-bit hash of each word."""
+    memo = held("words", lambda: Memo(xxhash.xxh3_64_intdigest))
+    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
