@@ -154,28 +154,26 @@ def mutual_information(df: DataFrame, key: str, feature: str, label: str, k: int
     MI = psi(N) + <psi(k_i)> - <psi(N_class)> - <psi(m_i)>, floored at 0.
     Classes with one point are ignored. m_i comes from bucketed cumulative
     radius search on the same index (neighbourhoods of size ~ k x classes)."""
-    from .neighbours import NeighbourIndex, tie_key
+    from .neighbours import NeighbourIndex
     x = F.col(q(feature)).cast("double")
     d = df.select(F.col(q(key)).alias("_key"), x.alias("_x"), F.col(q(label)).alias("_y")).filter(
         F.col("_x").isNotNull() & F.col("_y").isNotNull())
     sizes = d.groupBy("_y").agg(F.count(F.lit(1)).alias("_nc"))
     d = d.join(sizes.filter(F.col("_nc") > 1), "_y")
     d = d.withColumn("_k", F.least(F.lit(k), F.col("_nc") - 1)).cache()
-    idx = NeighbourIndex(d.select("_key", F.array("_x").alias("_v"), "_y"), "_key", "_v", group="_y", pivots=16)
+    idx = NeighbourIndex(d.select("_key", F.array("_x").alias("_v"), "_y"), "_key", "_v", group="_y")
     nn = idx.knn(k)
     kd = (nn.join(d.select(F.col("_key").alias("key"), "_k"), "key").filter(F.col("rank") == F.col("_k"))
           .select(F.col("key").alias("_key"), F.col("dist").alias("_r")))
     pts = d.join(kd, "_key")
-    # m_i: radius search with the query's own radius r_i on an index of all
-    # points (within-class k-th distances keep these neighbourhoods small);
-    # the strict '<' is applied to the same |x_j - x_i| distances.
-    allx = NeighbourIndex(d.select("_key", F.array("_x").alias("_v")), "_key", "_v", pivots=16)
-    qs = allx.points.join(kd.select(F.col("_key").alias("_k"), F.col("_r").alias("_ub")), "_k")
-    near = allx._search(qs, None, False, ub_col="_ub").join(kd.select(F.col("_key").alias("key"), "_r"), "key")
-    # distances equal at 1e-9 count as equal (the index's tie rule): '<' and '=' on tie keys
-    inside = F.when(tie_key(F.col("_r")) > 0, tie_key(F.col("dist")) < tie_key(F.col("_r"))).otherwise(
-        tie_key(F.col("dist")) == 0)
-    counts = near.groupBy(F.col("key").alias("_key")).agg(F.sum(inside.cast("long")).alias("_m"))
+    # m_i: each point's own radius r_i (within-class k-th distances keep
+    # these neighbourhoods small), asked once for equal points and radii of
+    # an index of all points; '<' is applied to tie keys, as in the index.
+    allx = NeighbourIndex(d.select("_key", F.array("_x").alias("_v")), "_key", "_v")
+    asked = (allx.points.join(kd.select(F.col("_key").alias("_k"), F.col("_r").alias("_ub")).hint("merge"), "_k")
+             .join(kd.select(F.col("_key").alias("_k"), "_r").hint("merge"), "_k"))
+    counts = (asked.join(allx.counts_within(asked).hint("merge"), ["_v", "_ub", "_r"])
+              .groupBy(F.col("_k").alias("_key")).agg(F.sum("hits").alias("_m")))
     m = pts.join(counts, "_key")
     agg = m.agg(F.count(F.lit(1)).alias("n"), F.avg(digamma_int(F.col("_k"))).alias("pk"),
                 F.avg(digamma_int(F.col("_nc"))).alias("pn"), F.avg(digamma_int(F.col("_m"))).alias("pm"))
