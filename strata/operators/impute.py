@@ -16,17 +16,24 @@ truncated.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import fit_z_score
+from .graph import saved
 from .neighbours import NeighbourIndex, tie_key
 from .ranks import exact_quantiles
 from .select import q
 
 
+#: Pattern pairs whose searches the driver submits at once.
+PAIRS_AT_ONCE = 4
+
+
 def _pattern(cols: Sequence[str]):
     return F.concat(*[F.when(F.col(q(c)).isNull(), F.lit("0")).otherwise(F.lit("1")) for c in cols])
 
@@ -52,36 +59,34 @@ def knn_impute(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, donors:
     if len(rpats) > max_patterns or len(dpats) > max_patterns:
         raise ValueError("too many missing-value patterns for exact k-NN imputation")
     rec, don = rec.cache(), don.cache()
-    cands = None
-    for rp in rpats:
-        need = [i for i, ch in enumerate(rp) if ch == "0"]
-        for dp in dpats:
-            useful = [i for i in need if dp[i] == "1"]  # the donor pattern has a column the receiver lacks
-            common = [i for i in range(D) if rp[i] == "1" and dp[i] == "1"]
-            if not useful or not common:
-                continue
-            vec = F.array(*[F.col(f"_z{i}") for i in common])
-            r_part = rec.filter(F.col("_pat") == rp).select(F.col("_k").alias("_key"), vec.alias("_vec"))
-            d_part = don.filter(F.col("_pat") == dp).select(F.col("_dk").alias("_key"), vec.alias("_vec"))
-            if d_part.limit(1).count() == 0 or r_part.limit(1).count() == 0:
-                continue
-            idx = NeighbourIndex(d_part, "_key", "_vec", **index_kw)
-            nn = idx.knn(k, queries=r_part, exclude_self=False)
-            scale = (D / len(common)) ** 0.5
-            part = nn.select(F.col("key").alias("_k"), F.col("nbr").alias("_dk"), (F.col("dist") * scale).alias("_d"),
-                             F.explode(F.array(*[F.lit(i) for i in useful])).alias("_c"))
-            cands = part if cands is None else cands.unionByName(part)
+    def nearest(pair: tuple[str, str]) -> DataFrame | None:
+        rp, dp = pair
+        useful = [i for i in range(D) if rp[i] == "0" and dp[i] == "1"]  # the donor pattern has a column the receiver lacks
+        common = [i for i in range(D) if rp[i] == "1" and dp[i] == "1"]
+        if not useful or not common:
+            return None
+        vec = F.array(*[F.col(f"_z{i}") for i in common])
+        r_part = rec.filter(F.col("_pat") == rp).select(F.col("_k").alias("_key"), vec.alias("_vec"))
+        d_part = don.filter(F.col("_pat") == dp).select(F.col("_dk").alias("_key"), vec.alias("_vec"))
+        nn = NeighbourIndex(d_part, "_key", "_vec", **index_kw).knn(k, queries=r_part, exclude_self=False)
+        scale = (D / len(common)) ** 0.5
+        return saved(nn.select(F.col("key").alias("_k"), F.col("nbr").alias("_dk"), (F.col("dist") * scale).alias("_d"),
+                               F.explode(F.array(*[F.lit(i) for i in useful])).alias("_c")))
+
+    with ThreadPoolExecutor(max_workers=PAIRS_AT_ONCE) as pool:
+        parts = [p for p in pool.map(nearest, [(rp, dp) for rp in rpats for dp in dpats]) if p is not None]
+    cands = functools.reduce(DataFrame.unionByName, parts) if parts else None
     means = {i: stats[c][0] for i, c in enumerate(cols)}
     if cands is None:
         fills = None
     else:
         w = Window.partitionBy("_k", "_c").orderBy(tie_key(F.col("_d")), "_dk")
         top = cands.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-        vals = top.join(don.select("_dk", *[f"_x{i}" for i in range(D)]), "_dk")
+        vals = top.join(don.select("_dk", *[f"_x{i}" for i in range(D)]).hint("merge"), "_dk")
         pick = F.element_at(F.array(*[F.col(f"_x{i}") for i in range(D)]), F.col("_c") + 1)
         fills = (vals.groupBy("_k", "_c").agg(F.avg(pick).alias("_v"))
                  .groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_v"))).alias("_fill")))
-    out = df if fills is None else df.join(fills, df[q(key)] == fills["_k"], "left")
+    out = df if fills is None else df.join(fills.hint("merge"), df[q(key)] == fills["_k"], "left")
     rep = {}
     for i, c in enumerate(cols):
         got = F.try_element_at(F.col("_fill"), F.lit(i)) if fills is not None else F.lit(None)

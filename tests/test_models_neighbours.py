@@ -128,3 +128,54 @@ def test_knn_impute_leaves_present_cells(spark):
         if b is not None:
             assert out[k][1] == b
         assert out[k][0] is not None and out[k][1] is not None
+
+
+def _lists(nn):
+    out = {}
+    for r in nn.orderBy("key", "rank").collect():
+        out.setdefault(r["key"], []).append(r["nbr"])
+    return out
+
+
+def test_knn_with_many_equal_points_keeps_as_many_as_a_result_can_hold(spark):
+    """Equal points and tiles smaller than them: ties go to the smaller keys, a point is not its own neighbour."""
+    pts = [(i, [float(i % 3), float(i % 3)]) for i in range(300)] + [(1000 + i, [float(i) * 7, -float(i)]) for i in range(40)]
+    df = spark.createDataFrame(pts, "id long, v array<double>")
+    index = NB.NeighbourIndex(df, "id", "v", ring_size=16)
+    got = _lists(index.knn(4))
+    for i, v in pts:
+        assert got[i] == [j for _, j in sorted((math.dist(v, w), j) for j, w in pts if j != i)[:4]], i
+    assert index._tiled(index.points.withColumn("_rn", F.lit(1)), ("_k", "_v")).n.max() <= 64  # a heavy value is cut into parts
+    assert len(index.tree.dim) > 3
+
+
+def test_knn_by_matrix_product_matches_brute_force(spark):
+    """More coordinates than are summed up directly, far from the origin."""
+    import random
+    rng = random.Random(3)
+    pts = [(i, [1000.0 + rng.random() for _ in range(12)]) for i in range(200)]
+    df = spark.createDataFrame(pts, "id long, v array<double>")
+    got = _lists(NB.knn_join(df, "id", "v", 5, ring_size=32))
+    for i, v in pts:
+        assert got[i] == [j for _, j in sorted((math.dist(v, w), j) for j, w in pts if j != i)[:5]]
+
+
+def test_dbscan_never_makes_the_pairs_of_a_dense_cloud_into_rows(spark):
+    """Cores, links and border points come from pairs of tiles."""
+    pts = [(i, [float(i % 20), float(i // 20) * 0.01]) for i in range(1200)] + [(5000, [19.9, 5.0]), (5001, [100.0, 0.0])]
+    df = spark.createDataFrame(pts, "id long, v array<double>")
+    out = NB.dbscan(df, "id", "v", eps=0.5, min_samples=3, ring_size=64)
+    got = {r["id"]: r["cluster"] for r in out.collect()}
+    assert all(got[i] == i % 20 for i in range(1200)) and got[5000] == got[5001] == -1
+    near = NB.eps_join(df, "id", "v", 0.5, ring_size=64).groupBy("key").count()
+    want = {i: sum(math.dist(v, w) <= 0.5 for _, w in pts) for i, v in pts[:40]}
+    assert {r["key"]: r["count"] for r in near.where("key < 40").collect()} == want
+
+
+def test_mutual_information_asks_equal_points_once(spark):
+    """Counts within a radius are those of all pairs, with equal points as one row."""
+    df = spark.createDataFrame([(i, [float(i % 4)]) for i in range(200)], "id long, v array<double>")
+    index = NB.NeighbourIndex(df, "id", "v", ring_size=16)
+    asked = index.points.select("_v", F.when(F.col("_k") % 2 == 0, 0.0).otherwise(1.5).alias("_r")).withColumn("_ub", F.col("_r"))
+    got = {(r["_v"][0], r["_r"]): r["hits"] for r in index.counts_within(asked).collect()}
+    assert got == {(v, r): 50 if r == 0 else 50 * sum(abs(v - w) < 1.5 for w in range(4)) for v, r in [(0.0, 0.0), (1.0, 1.5), (2.0, 0.0), (3.0, 1.5)]}
