@@ -1,7 +1,8 @@
 """Contributions of features to predictions, and local linear surrogates.
 
 A scorer is anything with ``classes`` and ``transform(df)``, which adds ``probs`` (one number a class) to rows that hold the
-features: a fitted classifier, or ``LinearScorer``. Rows to explain are turned into many artificial rows in the tasks that
+features: a fitted classifier, or ``LinearScorer``. One that also has ``scores(matrix)`` can score
+them where they are made. Rows to explain are turned into many artificial rows in the tasks that
 hold them; those are scored in one batch, and summed up in the tasks again, so that a few numbers a row are shuffled.
 """
 
@@ -35,6 +36,10 @@ class LinearScorer:
     weights: list[list[float]]
     intercepts: list[float]
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Scores (rows, classes) of a matrix of features, as ``transform`` has them in ``probs``."""
+        return x @ np.asarray(self.weights, dtype=float).reshape(len(self.classes), len(self.features)).T + np.asarray(self.intercepts, dtype=float)
+
     def transform(self, df: DataFrame) -> DataFrame:
         x = [F.col(q(c)).cast("double") for c in self.features]
         score = [functools.reduce(lambda s, t: s + t, [c * F.lit(float(v)) for c, v in zip(x, w)], F.lit(float(b))) for w, b in zip(self.weights, self.intercepts)]
@@ -85,7 +90,8 @@ def shapley_sampling(scorer, rows: DataFrame, background: np.ndarray, features:
     * (value - background mean).
 
     The background is at most a few hundred rows (``background_rows``) and goes to all tasks; there are background * orders
-    * (features + 1) hybrids a row, made and scored where the row lies. Sums are made in tasks, so features + 2 small rows
+    * (features + 1) hybrids a row, made and scored where the row lies: by ``scorer.scores`` as a matrix in the task that made
+    them, if the scorer has it, else by ``scorer.transform``. Sums are made in tasks, so features + 2 small rows
     a row and batch are shuffled. Repeated keys are explained together; NULL features are NaN to the scorer.
     """
     p, b = len(features), len(background)
@@ -134,8 +140,32 @@ def shapley_sampling(scorer, rows: DataFrame, background: np.ndarray, features:
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(first[1], width))), pa.array(np.tile(np.arange(width, dtype=np.int32), len(first[0]))),
                                               pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * k), pa.array(total[at].ravel()))], names=[key, "i", "total"])
 
-    scored = scorer.transform(made).select(q(key), "_add", "_subtract", "probs")
-    parts = scored.mapInArrow(sums, f"`{key}` {kind}, i int, total array<double>").select(q(key), "i", F.posexplode("total").alias("c", "v"))
+    def scored_sums(batches):
+        width = p + 2
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, total = matrix_of(batch, 1, p), np.zeros((batch.num_rows, width, k))
+            for i in range(batch.num_rows):
+                for at in range(0, n, step):
+                    own = rank[at:at + step]
+                    made = np.where(own[:, None, :] < np.arange(p + 1)[None, :, None], x[i], paired[at:at + step, None, :])
+                    score = scorer.scores(made.reshape(-1, p)).reshape(len(own), p + 1, k)
+                    total[i, :p] += np.take_along_axis(np.diff(score, axis=1), own[:, :, None], axis=1).sum(axis=0)
+                    total[i, p] += score[:, 0].sum(axis=0)
+                    total[i, p + 1] -= score[:, p].sum(axis=0)
+            at = np.repeat(np.arange(batch.num_rows), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.tile(np.arange(width, dtype=np.int32), batch.num_rows)),
+                                              pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * k), pa.array(total.ravel()))], names=[key, "i", "total"])
+
+    if hasattr(scorer, "scores"):
+        # a row is many hybrids, so the tasks are many small ones
+        spread = rows.select(q(key), *[F.col(q(c)).cast("double").alias(a) for c, a in zip(features, names)]).repartition(rows.sparkSession.sparkContext.defaultParallelism * 4)
+        parts = spread.mapInArrow(scored_sums, f"`{key}` {kind}, i int, total array<double>")
+    else:
+        scored = scorer.transform(made).select(q(key), "_add", "_subtract", "probs")
+        parts = scored.mapInArrow(sums, f"`{key}` {kind}, i int, total array<double>")
+    parts = parts.select(q(key), "i", F.posexplode("total").alias("c", "v"))
     copies = rows.groupBy(q(key)).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
     found = parts.groupBy(q(key), "i", "c").agg((F.sum("v") / n).alias("v"))
     w = Window.partitionBy(q(key), "c")

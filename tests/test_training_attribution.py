@@ -252,3 +252,22 @@ def test_broadcasts_are_bounded_by_bytes(spark):
 def test_derived_features_by_what_is_there(spark, columns, want):
     df = spark.createDataFrame([tuple(float(i + 1) for i in range(len(columns))), (None, *[0.0] * (len(columns) - 1))], ", ".join(f"`{c}` double" for c in columns)).withColumn("k", F.lit(1))
     assert set(recode.derive_features(df).columns) == want | {"k"}
+
+
+def test_hybrids_are_scored_in_the_task_where_the_scorer_can(spark):
+    """A scorer with ``scores`` is never asked to transform hybrids, and contributions are the same either way."""
+    class Closed(A.LinearScorer):
+        def transform(self, df):
+            raise AssertionError("hybrids went through a DataFrame")
+
+    class Open:
+        def __init__(self, scorer):
+            self.classes, self.transform = scorer.classes, scorer.transform
+
+    own = (["a", "b", "c"], ["x", "y"], [[1.0, -2.0, 0.5], [0.0, 3.0, 1.0]], [0.25, -1.0])
+    rows = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (2, -1.0, 0.0, 4.0), (2, -1.0, 0.0, 4.0), (3, None, 1.0, 1.0)], "id long, a double, b double, c double")
+    background = np.array([[0.0, 1.0, 2.0], [2.0, 2.0, -1.0]])
+    told = [{(r["id"], r["class"], r["feature"]): (r["contribution"], r["base"], r["prediction"]) for r in A.shapley_sampling(s, rows, background, own[0], "id").collect()} for s in (Closed(*own), Open(A.LinearScorer(*own)))]
+    assert told[0].keys() == told[1].keys() and len(told[0]) == 18
+    for k in told[0]:
+        assert told[0][k] == pytest.approx(told[1][k], abs=1e-9, nan_ok=True), k
