@@ -7,7 +7,7 @@ on columns standardised with the donors' mean and population std. That
 distance is not a metric across missing patterns, so it is split into
 pattern pairs: for receivers with missing set Mr and donors with missing set
 Md, the distance is Euclidean on S = present(Mr) & present(Md) scaled by
-sqrt(D/|S|), and the exact pivot/ring index (``neighbours``) applies. Each
+sqrt(D/|S|), and the exact tile index (``neighbours``) applies. Each
 pair contributes its own top-k; the global top-k per (row, column) is inside
 their union, so the result is exact. Patterns are few in practice; a table
 with more distinct patterns than ``max_patterns`` is refused rather than

@@ -147,13 +147,13 @@ def digamma_int(n) -> "F.Column":
 def mutual_information(df: DataFrame, key: str, feature: str, label: str, k: int = 3) -> DataFrame:
     """Mutual information between a continuous feature and a class label
     (Ross 2014, the k-NN estimator): per point, the distance d_i to its k-th
-    nearest neighbour of the same class (exact 1-D k-NN from the pivot/ring
+    nearest neighbour of the same class (exact 1-D k-NN from the tile
     index, grouped by class), m_i = number of points with |x_j - x_i| < d_i
     (self included; points equal to x_i when d_i = 0; distances equal at 1e-9
     are ties, as in the neighbour index), then
     MI = psi(N) + <psi(k_i)> - <psi(N_class)> - <psi(m_i)>, floored at 0.
-    Classes with one point are ignored. m_i comes from bucketed cumulative
-    radius search on the same index (neighbourhoods of size ~ k x classes)."""
+    Classes with one point are ignored. m_i comes from counts within a
+    radius on the same kind of index (neighbourhoods of size ~ k x classes)."""
     from .neighbours import NeighbourIndex
     x = F.col(q(feature)).cast("double")
     d = df.select(F.col(q(key)).alias("_key"), x.alias("_x"), F.col(q(label)).alias("_y")).filter(
