@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_scan import WORDS_ONLY
-from .shared import carried, slices, strings, uncarried
+from .shared import carried, held, slices, strings, uncarried
 
 #: Characters of a normalised item for each allowed edit.
 CHARS_PER_EDIT = 16
@@ -128,9 +129,16 @@ def decontaminated(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHAR
     return docs
 
 
+def _name(block: list[tuple[int, bytes]], chars_per_edit: int) -> str:
+    """What a worker process keeps the automaton of a block under; what an earlier operator left there goes."""
+    return f"items {xxhash.xxh3_128_hexdigest(repr((block, chars_per_edit)).encode())}"
+
+
 def _cleaner(block: list[tuple[int, bytes]], chars_per_edit: int):
+    name = _name(block, chars_per_edit)
+
     def rows(batches):
-        items = Items(block, chars_per_edit)
+        items = held(name, lambda: Items(block, chars_per_edit))
         for batch in batches:
             for b in slices(batch):
                 yield b.filter(pa.array([not items.matches(normalised(t)) for t in strings(b.column(0))], pa.bool_()))
@@ -153,8 +161,10 @@ def item_blocks(items: DataFrame, block_bytes: int):
 
 
 def _matcher(block: list[tuple[int, bytes]], chars_per_edit: int):
+    name = _name(block, chars_per_edit)
+
     def rows(batches):
-        items = Items(block, chars_per_edit)
+        items = held(name, lambda: Items(block, chars_per_edit))
         for batch in batches:
             for b in slices(batch):
                 out = [(doc, *m) for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1))) for m in items.matches(normalised(text))]

@@ -68,8 +68,7 @@ def held(name: str, make: Callable[[], Any]) -> Any:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of each word."""
-    memo = held("words", lambda: Memo(xxhash.xxh3_64_intdigest))
-    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:

@@ -276,3 +276,17 @@ def test_tensored_keys_meet():
         s = rng.integers(0, 2**64, 1000, dtype=np.uint64)
         x, y = (near_dedup.half_keys(near_dedup.min_hashes(part)) for part in (s[:925], s[75:]))
         assert set(x[0]) & set(y[0]) and set(x[1]) & set(y[1])
+
+
+def test_decontamination_frees_what_an_earlier_operator_held():
+    import pyarrow as pa
+
+    from strata.llm import decontaminate, shared
+
+    shared.held("encoder of before", lambda: [0])
+    batch = pa.RecordBatch.from_arrays([pa.array(["a leaked test item stands here", "clean"])], names=["text"])
+    clean = decontaminate._cleaner([(1, b"leaked test item")], 16)
+    assert [b.column(0).to_pylist() for b in clean([batch])] == [["clean"]]
+    assert len(shared._HELD) == 1 and next(iter(shared._HELD)).startswith("items ")
+    shared.word_hashes([b"x", b"y"])
+    assert len(shared._HELD) == 1  # hashes of words are not kept
