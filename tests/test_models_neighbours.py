@@ -179,3 +179,46 @@ def test_mutual_information_asks_equal_points_once(spark):
     asked = index.points.select("_v", F.when(F.col("_k") % 2 == 0, 0.0).otherwise(1.5).alias("_r")).withColumn("_ub", F.col("_r"))
     got = {(r["_v"][0], r["_r"]): r["hits"] for r in index.counts_within(asked).collect()}
     assert got == {(v, r): 50 if r == 0 else 50 * sum(abs(v - w) < 1.5 for w in range(4)) for v, r in [(0.0, 0.0), (1.0, 1.5), (2.0, 0.0), (3.0, 1.5)]}
+
+
+def test_training_tables_are_dealt_by_their_cells(spark):
+    assert M.fit_partitions(8_000, 64, 1, 6) == 2 and M.fit_partitions(100, 4, 1, 6) == 1
+    assert M.fit_partitions(8_000, 64, 100, 6) == 12  # a forest: two for each core
+    assert M.fit_partitions(600_000, 64, 1, 6) == 12 and M.fit_partitions(6_000_000, 64, 100, 6) == 92
+    assert M._tree_params({"maxDepth": 30})["cacheNodeIds"] and not M._tree_params({"maxDepth": 5})["cacheNodeIds"]
+
+
+def _two_classes(spark, n=90):
+    return spark.createDataFrame([(i, "x" if i % 3 else "y", float(i % 3), float(i % 7)) for i in range(n)], "k long, y string, a double, b double")
+
+
+def test_a_grid_shares_folds_and_cells_are_stored(spark, monkeypatch):
+    from strata.operators import resample
+    calls, plain = [], resample.repeated_stratified_kfold
+    monkeypatch.setattr(resample, "repeated_stratified_kfold", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    grid = [{"maxDepth": 1, "minInstancesPerNode": 1}, {"maxDepth": 2, "minInstancesPerNode": 1}, {"maxDepth": -1, "impurity": "none"}]
+    rows = {r["setting"]: r for r in M.grid_search(_two_classes(spark), ["a", "b"], "y", "k", "dt", grid, k=3).collect()}
+    assert len(calls) == 1
+    assert rows[0]["mean_score"] == rows[1]["mean_score"] == 1.0 and rows[0]["std_score"] == 0.0 and rows[2]["mean_score"] is None
+    told = M.cross_validate(_two_classes(spark), ["a", "b"], "y", "k", M.Preset("dt", "dt", {"maxDepth": 2}), k=3, repeats=2)
+    assert told.columns == ["k", "repeat", "fold", "y", "pred", "probs"]
+    assert told.inputFiles()  # read back, not fitted or scored again by each metric
+    assert told.groupBy("repeat").count().orderBy("repeat").collect() == [(0, 90), (1, 90)] and told.filter("pred <> y").count() == 0
+
+
+def test_importance_of_all_features_at_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from strata.operators import evaluate, explain
+    from strata.operators.ranks import average_rank, seeded_rank
+    df = _two_classes(spark)
+    m = M.fit_classifier(df, ["a", "b"], "y", M.Preset("dt", "dt", {"maxDepth": 2, "minInstancesPerNode": 1}))
+    calls, plain = [], evaluate.metric_set
+    monkeypatch.setattr(evaluate, "metric_set", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = {r["feature"]: r for r in explain.permutation_importance(m, df, ["a", "b"], "y", "k").collect()}
+    assert len(calls) == 2  # the baseline, and all features
+    pos = average_rank(df, "k", out="_pos").withColumn("_pos", F.col("_pos").cast("long"))
+    for f in ("a", "b"):  # as one join a feature has it
+        donor = seeded_rank(df.select("k", f), 42, "k", out="_pos", extra_keys=[F.lit(f)]).select("_pos", F.col(f).alias("_perm"))
+        one = pos.join(donor, "_pos").drop(f, "_pos").withColumnRenamed("_perm", f)
+        assert abs(plain(m.transform(one), "y", "pred").first()["f1_macro"] - got[f]["permuted"]) < 1e-12
+    assert got["a"]["importance"] > 0 and got["b"]["importance"] == 0
