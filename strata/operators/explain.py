@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,20 +168,25 @@ def permutation_importance(fitted, df: DataFrame, features: Sequence[str], label
                            metric: str = "f1_macro", seed: int = 42) -> DataFrame:
     """Metric drop when one feature is shuffled. The shuffle is a join on
     position: row at key-rank p receives the feature value of the row with
-    seeded-hash rank p (both ranks bucketed, no single-task sort)."""
+    seeded-hash rank p (both ranks bucketed, no single-task sort).
+
+    All features go at once: values are ranked by (feature, hash), the donors of a position are one small map, and a row
+    turns into its variants in the task that scores them, so rows are shuffled once and not once a feature."""
     from .evaluate import metric_set
     from .ranks import average_rank, seeded_rank
+    features = list(features)
     base = metric_set(fitted.transform(df), label, "pred").select(F.col(metric).alias("m")).first()["m"]
+    values = [F.col(q(f)).cast("double") for f in features]
+    long = df.select(q(key), F.explode(F.array(*[F.struct(F.lit(i).alias("_f"), v.alias("_perm")) for i, v in enumerate(values)])).alias("_x"))
+    names = F.array(*[F.lit(f) for f in features])
+    donor = seeded_rank(long.select(q(key), "_x.*"), seed, key, "_f", out="_pos", extra_keys=[names[F.col("_f")]])
+    donors = donor.groupBy("_pos").agg(F.map_from_entries(F.collect_list(F.struct("_f", "_perm"))).alias("_donors"))  # a value for each feature
     pos = average_rank(df, key, out="_pos").withColumn("_pos", F.col("_pos").cast("long"))
-    pos = pos.cache()
-
-    def one(f):
-        donor = seeded_rank(df.select(q(key), q(f)), seed, key, out="_pos", extra_keys=[F.lit(f)]) \
-            .select("_pos", F.col(q(f)).alias("_perm"))
-        shuffled = pos.join(donor, "_pos").drop(f, "_pos").withColumnRenamed("_perm", f)
-        m = metric_set(fitted.transform(shuffled), label, "pred").select(F.col(metric).alias("m")).first()["m"]
-        return f, float(base), float(m), float(base - m)
-    with ThreadPoolExecutor(max_workers=8) as pool:  # independent jobs share the executors
-        rows = list(pool.map(one, features))
-    pos.unpersist()
+    variants = pos.join(donors, "_pos").withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    shuffled = variants.select(q(label), "_f", *[F.when(F.col("_f") == i, F.col("_donors")[i]).otherwise(v).alias(f) for i, (f, v) in enumerate(zip(features, values))])
+    scored = fitted.transform(shuffled).groupBy(q(label), "_f", "pred").agg(F.count(F.lit(1)).alias("_n")).cache()  # classes x classes rows a feature
+    told = metric_set(scored.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))), label, "pred", by=["_f"])
+    scores = {r["_f"]: r["m"] for r in told.select("_f", F.col(metric).alias("m")).collect()}
+    scored.unpersist()
+    rows = [(f, float(base), float(scores[i]), float(base - scores[i])) for i, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "feature string, baseline double, permuted double, importance double")
