@@ -7,6 +7,9 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+
 from .shared import held
 
 #: Longest chunk that the memo keeps, in characters.
@@ -16,10 +19,18 @@ OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u
 #: A code that no valid text holds, put before each border so that splitting keeps the space.
 MARK = "\udc00"
 
+#: ASCII marks.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Chunks whose ids are gathered at once.
+GATHERED = 1 << 18
+#: Bytes that a text with some of ``OTHER_SPACE`` has: control characters, or the first byte of a longer code.
+ODD_BYTES = np.zeros(256, dtype=bool)
+ODD_BYTES[[9, *range(11, 14), *range(28, 32), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+
 #: Latin letters, which the library's normalisation leaves alone but for lower case.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-#: A chunk of one Latin word; a chunk that ends in a Latin letter and ASCII marks.
-_WORD, _MARKED = re.compile(f"[ \n]?[{_LETTERS}]+"), re.compile(f"(.*[{_LETTERS}])([!-/:-@\\[-`{{-~]+)", re.DOTALL)
+#: A chunk of one Latin word; a Latin letter.
+_WORD, _LETTER = re.compile(f"[ \n]?[{_LETTERS}]+").fullmatch, re.compile(f"[{_LETTERS}]").fullmatch
 
 
 def byte_symbols() -> list[str]:
@@ -36,7 +47,8 @@ class ChunkEncoder(dict):
     """Ids of ``tokenizers.Tokenizer.from_file(path)`` without added special tokens, as little-endian
     unsigned 32-bit bytes.
 
-    Texts repeat their words, so chunks that start at a space or line feed are encoded once and kept, in
+    Texts repeat their words, so a call looks up each distinct chunk (from a space or line feed on) once and
+    gathers the ids from there, and chunks are kept from call to call, in
     two generations of ``limit`` chunks each, the older of which goes when the newer is full. That is right
     only where no token and no context of the tokenizer's splitting rule crosses such a border:
 
@@ -45,8 +57,8 @@ class ChunkEncoder(dict):
       line feed between other characters is a border. In texts with other white space, chunks are joined
       with their neighbours up to such a border before they are encoded.
 
-    A new chunk that ends in a Latin letter and ASCII marks is encoded as the chunk without the marks, which
-    is often known, and the marks: both rules always split between a letter and a mark after it, but for
+    A chunk that ends in a Latin letter and ASCII marks is the chunk without the marks, which
+    is often known, and the marks, and is not kept itself: both rules always split between a letter and a mark after it, but for
     an apostrophe before further letters and for special strings.
     Other tokenizers get whole texts. Special strings inside texts are handled by the library, as its
     default has it (they hold no space, so a chunk has them whole).
@@ -58,36 +70,57 @@ class ChunkEncoder(dict):
 
         super().__init__()
         self.tokenizer, self.limit, self.style, self.older = Tokenizer.from_file(path), limit, style_of(path), {}
-        self.model, self.special = self.tokenizer.model, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)).search if special else lambda chunk: None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.style == "whole":
             return self._library(texts)
-        split = [self._chunks(t) for t in texts]
-        missing = set().union(*split).difference(self)
-        long = [c for c in missing if len(c) > KEPT_CHARS]
-        stems = {c: m.groups() for c in missing if (m := _MARKED.fullmatch(c)) and not any(t in c for t in self.special)}
-        needed = (missing - stems.keys()).union(*stems.values()).difference(self)
-        self.update((c, self.older[c]) for c in needed & self.older.keys())
-        new = [c for c in needed if c not in self]
-        word, tokenize = _WORD.fullmatch, self.model.tokenize
-        others = []
-        for c in new:
-            if word(c):
-                self[c] = array("I", [t.id for p in self._pieces(c) for t in tokenize(p)]).tobytes()
-            else:
-                others.append(c)
-        new = others
-        for at in range(0, len(new), 20_000):
-            self.update(zip(new[at:at + 20_000], self._library(new[at:at + 20_000])))
-        self.update((c, self[stem] + self[marks]) for c, (stem, marks) in stems.items())
-        out = [b"".join(map(self.__getitem__, chunks)) for chunks in split]
-        for c in long:
-            del self[c]
-        if len(self) > self.limit:
-            self.older = dict(self)
-            self.clear()
-        return out
+        chunks, cut = self._split(texts)
+        coded = chunks.dictionary_encode()
+        known, place = list(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist())), coded.indices.to_numpy()
+        size, flat = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4, np.frombuffer(b"".join(known), dtype="<u4")
+        first, parts = np.cumsum(size) - size, [flat[:0]]
+        for at in range(0, len(place), GATHERED):
+            own = place[at:at + GATHERED]
+            n = size[own]
+            parts.append(flat[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        ids, ends = np.concatenate(parts).tobytes(), 4 * np.concatenate([[0], np.cumsum(size[place])])[cut]
+        return [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            if chunk[-1] in MARKS:
+                stem = chunk.rstrip(MARKS)
+                if _LETTER(stem[-1:]) and not self.special(chunk):
+                    return self[stem] + self[chunk[len(stem):]]
+            ids = array("I", [t.id for p in self._pieces(chunk) for t in self.tokenize(p)]).tobytes() if _WORD(chunk) else self._library([chunk])[0]
+        if len(chunk) <= KEPT_CHARS:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+    def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts, one after the other in the texts' bytes, and which of them each text begins with (and how
+        many there are)."""
+        column = pa.array(texts, pa.large_string())
+        at = np.frombuffer(column.buffers()[1], dtype=np.int64)[:len(texts) + 1] if texts else np.zeros(1, dtype=np.int64)
+        held = column.buffers()[2] or pa.py_buffer(b"")
+        data = np.frombuffer(held, dtype=np.uint8)[:at[-1]]
+        begins = (data == 32) | (data == 10)
+        if self.style == "lead":
+            odd = ODD_BYTES[data]
+            odd[1:] |= begins[1:] & begins[:-1]
+            for i in np.unique(np.searchsorted(at, np.flatnonzero(odd), side="right") - 1).tolist():
+                begins[at[i]:at[i + 1]] = False
+                begins[at[i] + np.cumsum([0, *[len(c.encode()) for c in self._chunks(texts[i])[:-1]]])] = True
+        begins[at[:-1][at[1:] > at[:-1]]] = True
+        first = np.flatnonzero(begins)
+        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.append(first, len(data))), held), np.searchsorted(first, at)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -41,6 +41,21 @@ def test_chunks_encode_like_whole_texts(path):
     same()
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_each_distinct_chunk_is_looked_up_once_a_call(path):
+    asked = []
+
+    class Counting(encoding.ChunkEncoder):
+        def __getitem__(self, chunk):
+            asked.append(chunk)
+            return super().__getitem__(chunk)
+
+    own = Counting(path)
+    texts = ["a dog, a cat and a dog, " * 50 + "\n", "", "a cat"]
+    assert own.encode(texts) == [np.asarray(e.ids, dtype="<u4").tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) <= 20 and " dog," not in own and " dog" in own
+
+
 def test_pair_merger_counts_like_the_library():
     own, whole = token_counts.PairMerger(BYTE), Tokenizer.from_file(BYTE)
 
