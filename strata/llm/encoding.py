@@ -41,6 +41,7 @@ def byte_symbols() -> list[str]:
 
 
 _SYMBOLS = dict(enumerate(byte_symbols()))
+SPACE = _SYMBOLS[32]
 
 
 class ChunkEncoder(dict):
@@ -96,7 +97,11 @@ class ChunkEncoder(dict):
                 stem = chunk.rstrip(MARKS)
                 if _LETTER(stem[-1:]) and not self.special(chunk):
                     return self[stem] + self[chunk[len(stem):]]
-            ids = array("I", [t.id for p in self._pieces(chunk) for t in self.tokenize(p)]).tobytes() if _WORD(chunk) else self._library([chunk])[0]
+            word = chunk[1:]
+            if chunk[0] == " " and word.isascii() and word.isalpha():  # most words, in short
+                ids = array("I", [t.id for t in self.tokenize(word.lower() if self.style == "drop" else SPACE + word)]).tobytes()
+            else:
+                ids = array("I", [t.id for p in self._pieces(chunk) for t in self.tokenize(p)]).tobytes() if _WORD(chunk) else self._library([chunk])[0]
         if len(chunk) <= KEPT_CHARS:
             if len(self) >= self.limit:
                 self.older = dict(self)
