@@ -41,8 +41,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two lengths, none of which crosses documents."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    """Sequences of power-of-two lengths, none of which crosses documents. Executors hold what the stages before have left in
+    the JVM, so the workers keep few chunks."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, kept=100_000, rows_at_once=256)
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("substring_dedup", substring_stage), ("decontaminate", decontaminate_stage), ("packing", packing_stage)]

@@ -174,6 +174,6 @@ def style_of(path: str) -> str:
     return "whole"
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, limit: int = 400_000) -> ChunkEncoder:
     """One for each Python worker process."""
-    return held(f"encoder {path}", lambda: ChunkEncoder(path))
+    return held(f"encoder {path} {limit}", lambda: ChunkEncoder(path, limit))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from strata.operators.graph import connected_components
 
-from .shared import carried, fits, mixed, rolling, slices, strings, uncarried, word_hashes, written
+from .shared import carried, emptied, fits, mixed, rolling, slices, strings, uncarried, word_hashes, written
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -54,6 +54,7 @@ def half_keys(signature: np.ndarray) -> tuple[list[int], list[int]]:
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the shingle set), whole (128-bit hash of the set) and the half keys of each row."""
     def rows(batches):
+        emptied()
         for batch in batches:
             for b in slices(batch):
                 n, whole, first, second = [], [], [], []
@@ -127,6 +128,7 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "d
     names = [*own.columns, "whole"]
 
     def rows(batches):
+        emptied()
         for batch in batches:
             for b in slices(batch):
                 whole = [xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in strings(b.column(1))]
@@ -294,6 +296,7 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
                                           pa.array([nodes[p].tobytes() for p in parts], pa.binary()), pa.array([hashes[p].tobytes() for p in parts], pa.binary())], names=SHARED)
 
     def parts_(batches):
+        emptied()
         held, n = [], 0
         for b in batches:
             for node, own in zip(b.column(0).to_pylist(), b.column(1)):
@@ -325,6 +328,7 @@ SHARED = ["shard", "node", "c", "nodes", "hashes"]
 def full_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes that have candidates, from whole texts again."""
     def rows(batches):
+        emptied()
         for batch in batches:
             for b in slices(batch):
                 sets = [shingle_set(t) for t in strings(b.column(1))]

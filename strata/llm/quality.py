@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import carried, slices, strings
+from .shared import carried, emptied, slices, strings
 
 LEVEL = 6
 #: Where the calibration line may bend, in shares of the calibration texts.
@@ -129,6 +129,7 @@ def quality_scores(docs: DataFrame, model: CompressionClassifier, threshold: flo
     result = own if carry else own.drop("text")
 
     def rows(batches):
+        emptied()
         scores = model.scorer()
         for batch in batches:
             for b in slices(batch):

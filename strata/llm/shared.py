@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable
@@ -52,6 +53,7 @@ class Memo(dict):
 
 
 _HELD: dict[str, Any] = {}
+_C = ctypes.CDLL(None)
 
 
 def held(name: str, make: Callable[[], Any]) -> Any:
@@ -59,13 +61,22 @@ def held(name: str, make: Callable[[], Any]) -> Any:
     it holds the tables of one at a time: another name's go first, and their memory with them."""
     if name not in _HELD:
         if _HELD:
-            _HELD.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+            emptied()
         _HELD[name] = make()
     return _HELD[name]
 
 
+def emptied() -> None:
+    """Called by tasks that keep nothing: what earlier operators left in this Python worker goes, and its free memory goes back
+    to the system, which the JVM beside it may need."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_C, "malloc_trim", None):
+        trim(0)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of each word."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import carried, mixed, rolling, slices, strings, word_hashes, written
+from .shared import carried, emptied, mixed, rolling, slices, strings, word_hashes, written
 
 #: Words of a window, and of the part whose smallest hash is a window's fingerprint.
 WINDOW, PART = 50, 10
@@ -84,6 +84,7 @@ def marks(docs: DataFrame, blocks: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), pack(ids), pack(prints)], names=MARK_NAMES)
 
     def rows(batches):
+        emptied()
         ids, prints, held = [], [], 0
         for batch in batches:
             for b in slices(batch):
@@ -198,6 +199,7 @@ def windows(docs: DataFrame, shards: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), *none, pick(ids, "<i8"), pick(wholes, "<u8"), pick(at, "<i4"), pick(one, "<u8"), pick(two, "<u4")], names=WINDOW_NAMES)
 
     def rows(batches):
+        emptied()
         parts, held = [], 0
         for batch in batches:
             for b in slices(batch):
@@ -294,6 +296,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = own.columns[-1]
 
     def rows(batches):
+        emptied()
         for batch in batches:
             for b in slices(batch):
                 out = []

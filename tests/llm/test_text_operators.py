@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from strata.llm import decontaminate, encoding, license_scan, near_dedup, packing, substring_dedup, token_counts, token_output
+from strata.llm import decontaminate, encoding, license_scan, near_dedup, packing, shared, substring_dedup, token_counts, token_output
 from strata.llm.shared import shared_path
 from tests.conftest import SF_SMALL
 from tests.llm import cases
@@ -56,6 +56,23 @@ def test_each_distinct_chunk_is_looked_up_once_a_call(path):
     assert len(asked) <= 20 and " dog," not in own and " dog" in own
 
 
+def test_tasks_that_keep_nothing_empty_the_worker():
+    """A worker that has packed does not hold its chunks while it looks for near copies or repeated passages."""
+    class Taken:
+        def mapInArrow(self, rows, schema):
+            return rows
+
+    for task in (near_dedup.sketches(Taken()), substring_dedup.marks(Taken(), 1), substring_dedup.windows(Taken(), 1)):
+        shared.held("left over", list)
+        assert list(task(iter([]))) == [] and not shared._HELD
+
+
+def test_packing_is_the_same_with_little_memory(spark):
+    docs = cases.documents(spark).coalesce(1)
+    much, little = (sorted(map(str, packing.pack(docs, BYTE, end_id=0, **few).collect())) for few in ({}, {"kept": 5, "rows_at_once": 2}))
+    assert much == little
+
+
 def test_pair_merger_counts_like_the_library():
     own, whole = token_counts.PairMerger(BYTE), Tokenizer.from_file(BYTE)
 
