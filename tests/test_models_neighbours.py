@@ -4,6 +4,7 @@ plus properties from SURVEY section 5)."""
 import math
 import os
 import tempfile
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +223,25 @@ def test_importance_of_all_features_at_once(spark, monkeypatch):
         one = pos.join(donor, "_pos").drop(f, "_pos").withColumnRenamed("_perm", f)
         assert abs(plain(m.transform(one), "y", "pred").first()["f1_macro"] - got[f]["permuted"]) < 1e-12
     assert got["a"]["importance"] > 0 and got["b"]["importance"] == 0
+
+
+def test_classes_look_for_neighbours_at_once(spark, monkeypatch):
+    """And the rows are those of one class after the other: on the line between a row and one of its class."""
+    both, found = threading.Barrier(2, timeout=60), NB.knn_join
+    monkeypatch.setattr(NB, "knn_join", lambda *a, **k: (both.wait(), found(*a, **k))[1])
+    data = [(i, "abc"[0 if i < 20 else 1 if i < 26 else 2], float(i), i * 2.0) for i in range(33)]
+    df = spark.createDataFrame(data, "id bigint, cls string, x double, y double")
+    out = NB.smotenc_oversample(df, "id", "cls", ["x", "y"], [], {"b": 12, "c": 11, "a": 5})
+    rows = out.collect()
+    assert {c: sum(r["cls"] == c for r in rows) for c in "abc"} == {"a": 20, "b": 12, "c": 11}
+    new = {c: [r for r in rows if r["cls"] == c and r["id"] < 0] for c in "bc"}
+    assert all(r["y"] == pytest.approx(2 * r["x"]) for c in "bc" for r in new[c])
+    assert all(20 <= r["x"] <= 25 for r in new["b"]) and all(26 <= r["x"] <= 32 for r in new["c"])
+
+
+def test_a_single_tile_needs_no_box(spark):
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(12)], "id bigint, v array<double>")
+    index = NB.NeighbourIndex(df, "id", "v")
+    tiles = index._tiled(index.points)
+    assert tiles.lo.max() < -1e300 and tiles.hi.min() > 1e300  # no aggregate over its coordinates
+    assert list(tiles.ids) == [0] and list(tiles.n) == [12] and tiles.gaps(0, tiles).tolist() == [0.0]

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import threading
 
 import duckdb
 import numpy as np
@@ -95,6 +96,34 @@ def test_missing_folds_are_refitted(spark, rows, tmp_path):
         T.predict_splits(spark, T.TrainingRun(str(tmp_path / "none"), FEATURES, "label", "id"), rows)
 
 
+def test_plain_presets_do_not_wait_for_rebalancing(spark, rows, tmp_path, monkeypatch):
+    fitted = threading.Event()
+    fit = T.fit_classifier
+    monkeypatch.setattr(T, "fit_classifier", lambda part, features, label, preset, **k: (fit(part, features, label, preset, **k), preset.sampled or fitted.set())[0])
+
+    def rebalance(part, target):
+        assert fitted.wait(60), "no plain model was fitted while rows were rebalanced"
+        return part
+
+    run = T.TrainingRun(str(tmp_path / "run"), FEATURES, "label", "id", k=2, repeats=1, rebalance=rebalance, concurrent=8)
+    assert {r["model"]: r["status"] for r in T.train_all_store(rows, run, PRESETS[:2]).collect()} == {"Tree": "stored", "Tree_Sampled": "stored"}
+
+
+def test_rebalancing_that_fails_is_raised(spark, rows, tmp_path):
+    def rebalance(part, target):
+        raise RuntimeError("cannot be rebalanced")
+
+    run = T.TrainingRun(str(tmp_path / "run"), FEATURES, "label", "id", k=2, repeats=1, rebalance=rebalance, concurrent=2)
+    with pytest.raises(RuntimeError, match="cannot be rebalanced"):
+        T.train_all_store(rows, run, PRESETS[:2])
+
+
+def test_fits_that_go_at_once_share_the_cores(spark, rows):
+    known = M._indexed(rows.where("label IS NOT NULL"), "label", ["a", "b", "c"])
+    parts = [M._training_table(known, FEATURES, None, 1_000_000, 100, ["a", "b", "c"], {"a": 30, "b": 30, "c": 30}, n).rdd.getNumPartitions() for n in (1, 4, 100)]
+    assert parts == [2 * spark.sparkContext.defaultParallelism, 2, 2]
+
+
 def test_printed_trees_predict_like_the_model(spark, rows):
     known = rows.where("label IS NOT NULL")
     data = M._assembler(FEATURES).transform(M._indexed(known, "label", ["a", "b", "c"]))
