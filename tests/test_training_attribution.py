@@ -118,10 +118,17 @@ def test_rebalancing_that_fails_is_raised(spark, rows, tmp_path):
         T.train_all_store(rows, run, PRESETS[:2])
 
 
-def test_fits_that_go_at_once_share_the_cores(spark, rows):
+def test_fits_that_go_at_once_share_the_cores(spark, rows, monkeypatch):
     known = M._indexed(rows.where("label IS NOT NULL"), "label", ["a", "b", "c"])
-    parts = [M._training_table(known, FEATURES, None, 1_000_000, 100, ["a", "b", "c"], {"a": 30, "b": 30, "c": 30}, n).rdd.getNumPartitions() for n in (1, 4, 100)]
-    assert parts == [2 * spark.sparkContext.defaultParallelism, 2, 2]
+
+    def parts(n_rows, n):
+        return M._training_table(known, FEATURES, None, n_rows, 100, ["a", "b", "c"], {"a": 30, "b": 30, "c": 30}, n).rdd.getNumPartitions()
+
+    cores = spark.sparkContext.defaultParallelism
+    assert parts(1_000_000, 1) == 2 * cores and parts(1_000_000, 100) == 2 * min(cores, M.LEAST_SHARE)
+    assert parts(20_000, 100) == parts(20_000, 1)  # a small table alike
+    monkeypatch.setattr(M, "LEAST_SHARE", 1)
+    assert [parts(1_000_000, n) for n in (2, 100)] == [2 * max(1, cores // 2), 2]
 
 
 def test_printed_trees_predict_like_the_model(spark, rows):
