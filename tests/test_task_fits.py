@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.operators import models as M
+from strata.operators import neighbours as NB
 from strata.operators import taskfits as TF
+from strata.operators import training as T
+from strata.sources import io as IO
 
 FEATURES = ["f0", "f1", "f2"]
 
@@ -102,3 +105,31 @@ def test_drawn_cuts_are_counted_as_by_hand():
             assert gain[m] == pytest.approx(best)
     picks = TF.drawn(np.random.default_rng(3), 4000, 5, 8)
     assert all(len(set(p)) == 5 for p in picks) and np.bincount(picks.ravel(), minlength=8) == pytest.approx(2500, rel=0.1)
+
+
+def test_a_run_fits_in_tasks_and_counts_classes_once(spark, rows, tmp_path, monkeypatch):
+    def counted(*a):
+        raise AssertionError("classes are counted when folds and parts are made")
+
+    monkeypatch.setattr(M, "class_counts", counted)
+    run = T.TrainingRun(str(tmp_path / "run"), FEATURES, "label", "id", k=2, repeats=1, rebalance=lambda part, target: part)
+    presets = [M.Preset("Tree", "dt", {"maxDepth": 3}), M.Preset("Forest_Sampled", "rf", {"maxDepth": 3, "numTrees": 3}, sampled=True), M.Preset("Logistic", "lr", {"C": 1.0}, scaled=True)]
+    assert {r["model"]: (r["status"], r["error"]) for r in T.train_all_store(rows, run, presets).collect()} == {p.name: ("stored", None) for p in presets}
+    models = IO.load_models(spark, [run.path("models")], suffixes=("",))
+    assert {n: m.kind for n, m in models.items()} == {"Tree": "packed", "Forest_Sampled": "packed", "Logistic": "packed"}
+    assert run.part_counts(0, 1) == run.rebalanced_counts["0-1"] and sum(run.rebalanced_counts["all"].values()) == run.rows == 400
+
+
+def test_classes_grow_together_whatever_their_number_and_keys(spark, monkeypatch):
+    calls, found = [], NB.knn_join
+    monkeypatch.setattr(NB, "knn_join", lambda *a, **k: calls.append(1) or found(*a, **k))
+    rng = np.random.default_rng(1)
+    data = [(i % 7, f"c{c}", 100.0 * c + float(rng.random()), "uv"[i % 2] + str(c)) for c in range(5) for i in range(9)]  # keys in all classes, some twice
+    df = spark.createDataFrame(data, "id bigint, cls string, x double, tag string")
+    out = NB.smotenc_oversample(df, "id", "cls", ["x"], ["tag"], {f"c{c}": 30 for c in range(5)})
+    new = out.where("id < 0").collect()
+    assert len(calls) == NB.CLASSES_AT_ONCE and {r["cls"] for r in new} == {f"c{c}" for c in range(5)}
+    assert all(100 * int(r["cls"][1]) <= r["x"] <= 100 * int(r["cls"][1]) + 1 and r["tag"][1] == r["cls"][1] for r in new)
+    with pytest.raises(ValueError, match="no points"):
+        NB.smotenc_oversample(df, "id", "cls", ["x"], [], {"none": 3})
+    assert NB.smotenc_oversample(df, "id", "cls", ["x"], [], {"c0": 2}).count() == df.count()
