@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from strata.operators import models as M
 from strata.operators import neighbours as NB
 from strata.operators import taskfits as TF
@@ -133,3 +134,14 @@ def test_classes_grow_together_whatever_their_number_and_keys(spark, monkeypatch
     with pytest.raises(ValueError, match="no points"):
         NB.smotenc_oversample(df, "id", "cls", ["x"], [], {"none": 3})
     assert NB.smotenc_oversample(df, "id", "cls", ["x"], [], {"c0": 2}).count() == df.count()
+
+
+def test_the_registered_run_has_the_folds_of_the_operator():
+    import inspect
+
+    from strata.plans import training as P
+    told = inspect.signature(T.TrainingRun).parameters
+    assert (P.FOLDS, P.REPEATS) == (told["k"].default, told["repeats"].default) == (5, 5)
+    sql = E.oracle_sql()
+    assert "% 5 AS fold" in sql["train_all_store"] and "range(5)" in sql["train_all_store"]
+    assert "% 2 AS fold" in sql["evaluate_stored_models"] and "range(1)" in sql["evaluate_stored_models"]  # its SQL stays
