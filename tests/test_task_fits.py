@@ -1,6 +1,7 @@
 """Fits that tasks make on their own: against MLlib, against plain counting, and what they must not depend on."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,27 @@ def test_the_registered_run_has_the_folds_of_the_operator():
     sql = E.oracle_sql()
     assert "% 5 AS fold" in sql["train_all_store"] and "range(5)" in sql["train_all_store"]
     assert "% 2 AS fold" in sql["evaluate_stored_models"] and "range(1)" in sql["evaluate_stored_models"]  # its SQL stays
+
+
+def test_blocks_of_tiles_meet_and_find_the_same_neighbours(spark):
+    x = np.random.default_rng(7).normal(size=(600, 12)).round(1)
+    x[100:140] = x[100]  # equal points
+    df = spark.createDataFrame([(i, "uv"[i % 2], v.tolist()) for i, v in enumerate(x)], "id bigint, g string, v array<double>")
+    index = NB.NeighbourIndex(df, "id", "v", ring_size=16)
+    tiles = index._tiled(index.points)
+    rows, n = tiles.rows.select("_k", "_v", "_tile"), len(tiles.ids)
+
+    def count(left, right):
+        return pa.table({"left": [left.num_rows], "right": [right.num_rows]})
+
+    every = [(int(t), int(s)) for t in tiles.ids for s in tiles.ids]
+    met = index._met(rows, rows, every, count, "left bigint, right bigint").agg(F.sum("left"), F.sum(F.col("left") * F.col("right"))).first()
+    assert n >= 24 and met[0] <= 600 * (NB.LEAST_BLOCKS + 2) < 600 * n and met[1] == 600 * 600  # handed on for blocks, all pairs met
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for group in (None, "g"):
+        got = {}
+        for r in NB.NeighbourIndex(df, "id", "v", group, ring_size=16).knn(4).collect():
+            got.setdefault(r["key"], {})[r["rank"]] = r["nbr"]
+        for i in range(600):
+            others = [j for j in range(600) if j != i and (group is None or j % 2 == i % 2)]
+            assert [got[i][k] for k in (1, 2, 3, 4)] == sorted(others, key=lambda j: (np.floor(d[i, j] * 1e9 + 0.5), j))[:4]
